@@ -9,6 +9,9 @@ type rejects the line instead of being converted.
 
 from __future__ import annotations
 
+import re
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -102,19 +105,16 @@ def object_members(value: Column) -> Column:
     return F.try_variant_get(value, "$", "map<string,variant>")
 
 
-def lifted(top: Column, members: Column, key: str) -> Column:
-    """The top-level text if not empty, else ``data[key]`` if it is a non-empty string."""
-    empty_as_null = F.nullif
-    return F.coalesce(
-        empty_as_null(top, F.lit("")), empty_as_null(string_value(members[key]), F.lit(""))
-    )
+def first_text(*texts: Column) -> Column:
+    """The first text that is neither NULL nor empty."""
+    return F.coalesce(*[F.nullif(text, F.lit("")) for text in texts])
 
 
-def residual_data(members: Column, keep_nonstring: bool = False) -> Column:
-    """Compact JSON of ``data`` without the lifted keys, NULL when nothing is left.
+def residual_members(members: Column, keep_nonstring: bool = False) -> Column:
+    """Members of ``data`` without the lifted keys.
 
-    Keys come out sorted. The lifted keys go even when their value is not a string;
-    ``keep_nonstring`` leaves those values in place instead.
+    The lifted keys go even when their value is not a string; ``keep_nonstring``
+    leaves those values in place instead.
     """
     def stays(key: Column, value: Column) -> Column:
         other = ~key.isin(*LIFTED_KEYS)
@@ -122,10 +122,38 @@ def residual_data(members: Column, keep_nonstring: bool = False) -> Column:
             return other
         return other | ~(is_absent(value) | (_type(value) == "STRING"))
 
-    rest = F.map_filter(members, stays)
-    return F.when(F.size(rest) > 0, F.to_json(rest))
+    return F.map_filter(members, stays)
+
+
+def compact_json(members: Column) -> Column:
+    """Compact JSON of the members with sorted keys, NULL if there are none."""
+    return F.when(F.size(members) > 0, F.to_json(members))
+
+
+_JSON_TOKEN = re.compile(r'"(?:[^"\\]|\\.)*"|[{}\[\],:]|[^\s{}\[\],:"]+')
 
 
-def indented_data(data: Column) -> Column:
-    """``data`` over several indented lines."""
-    return F.to_json(F.try_parse_json(data), {"pretty": "true"})
+def _indent_json(text: str, prefix: str, indent: str) -> str:
+    """Lay compact JSON out over lines; the tokens themselves stay as they are."""
+    tokens, out, depth = _JSON_TOKEN.findall(text), [], 0
+    for before, token in zip(["", *tokens], tokens):
+        depth -= token in "}]"
+        opened, closes = before in ("{", "["), token in ("}", "]")
+        if (opened and not closes) or before == "," or (closes and not opened):
+            out.append("\n" + prefix + indent * depth)
+        out.append(token + " " if token == ":" else token)
+        depth += token in "{["
+    return "".join(out)
+
+
+def indented_data(data: Column, prefix: str = "", indent: str = "    ") -> Column:
+    """``data`` over several lines, nested values included.
+
+    Spark prints nested VARIANT values on one line only, so the layout is done by an
+    Arrow-batched Python function. For display; nothing else in the library calls it.
+    """
+    @F.pandas_udf("string")
+    def lay_out(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: _indent_json(t, prefix, indent), na_action="ignore")
+
+    return lay_out(data)

@@ -70,16 +70,17 @@ def parse_lines(
         .when(timestamps.is_zero_time(sec, nanos), F.lit("no_timestamp"))
         .otherwise(F.lit("lager"))
     )
-    # A generator of one row: filters on the columns below depend on `kind`, so
-    # they stay above it. Pushed further down they would parse every line twice.
+    # A generator of one row. Filters on its columns stay above it; without it they
+    # would be pushed further down, where they would parse every line a second time.
+    steps = {
+        "kind": kind,
+        "sec": sec,
+        "ns": nanos,
+        "lvl": levels.merge_levels(F.col("v1"), F.col("v2")),
+        **{f"t_{key}": F.col(f"t_{key}") for key in (*entry.STRING_KEYS, "data")},
+    }
     tagged = typed.select(
-        *origin,
-        "value",
-        sec.alias("sec"),
-        nanos.alias("ns"),
-        levels.merge_levels(F.col("v1"), F.col("v2")).alias("lvl"),
-        *[f"t_{key}" for key in (*entry.STRING_KEYS, "data")],
-        F.explode(F.array(kind)).alias("kind"),
+        *origin, "value", F.inline(F.array(F.struct(*[c.alias(n) for n, c in steps.items()])))
     )
 
     def parsed(value: Column) -> Column:
@@ -89,7 +90,13 @@ def parse_lines(
         return F.when(F.col("kind") == "lager", value)
 
     members = F.col("t_data")
-    return tagged.select(
+    opened = tagged.withColumns(
+        {
+            **{f"d_{key}": entry.string_value(members[key]) for key in entry.LIFTED_KEYS},
+            "rest": entry.residual_members(members, keep_nonstring),
+        }
+    )
+    return opened.select(
         *origin,
         timed(F.col("sec")).alias("epoch_sec"),
         timed(F.col("ns")).alias("nanos"),
@@ -101,10 +108,10 @@ def parse_lines(
             for key in ("source", "message")
         ],
         *[
-            parsed(entry.lifted(F.col(f"t_{key}"), members, key)).alias(key)
+            parsed(entry.first_text(F.col(f"t_{key}"), F.col(f"d_{key}"))).alias(key)
             for key in ("session", "error", "trace")
         ],
-        parsed(entry.residual_data(members, keep_nonstring)).alias("data"),
+        parsed(entry.compact_json(F.col("rest"))).alias("data"),
         "kind",
         F.when(F.col("kind") == "raw", F.col("value")).alias("raw"),
     ).select(*origin, *ENTRY_COLUMNS)

@@ -27,6 +27,7 @@ FILE_NAMES = {
     "tar": "bundle-{}.tar",
     "tgz": "bundle-{}.tgz",
     "nested": "outer-{}.tar",
+    "damaged": "broken-{}.log.1.gz",
 }
 
 
@@ -36,7 +37,7 @@ def _output(folder: str, name: str):
     else:
         system, inner = fs.LocalFileSystem(), folder.removeprefix("file:")
     system.create_dir(inner, recursive=True)
-    return system.open_output_stream(f"{inner}/{name}")
+    return system.open_output_stream(f"{inner}/{name}", compression=None)
 
 
 def _add(tar: tarfile.TarFile, name: str, body: bytes) -> None:
@@ -58,7 +59,9 @@ def write_files(lines: DataFrame, folder: str, kind: str) -> int:
         part, count = TaskContext.get().partitionId(), 0
         with ExitStack() as stack:
             out = stack.enter_context(_output(folder, FILE_NAMES[kind].format(part)))
-            if kind == "gz":
+            if kind == "damaged":  # bytes after the gzip stream are a fault
+                stack.callback(out.write, b"broken")
+            if kind in ("gz", "damaged"):
                 out = stack.enter_context(gzip.GzipFile(fileobj=out, mode="wb"))
             elif kind == "xz":
                 out = stack.enter_context(lzma.LZMAFile(out, mode="wb"))
