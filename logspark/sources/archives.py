@@ -30,6 +30,7 @@ from logspark.sources.lines import (
     STREAM_GLOBS,
     FileSelection,
     _as_list,
+    union_of_groups,
 )
 
 READ_ERRORS = (OSError, EOFError, zlib.error, lzma.LZMAError, tarfile.TarError)
@@ -378,28 +379,37 @@ def read_streamed(
     """
     if on_archive_error not in ("fail", "drop"):
         raise ValueError(f"on_archive_error must be 'fail' or 'drop', not {on_archive_error!r}")
-    roots, chosen = _as_list(paths), selection or FileSelection(all_files=True)
+    chosen = selection or FileSelection(all_files=True)
     name_ok, fail = _name_test(chosen), on_archive_error == "fail"
     cores = spark.sparkContext.defaultParallelism
     name = F.element_at(F.split("path", "/"), -1)
-    streamed = [*STREAM_GLOBS, *(("*.tgz", "*.tar.gz") if archives else ())]
-    if gzip_files:
-        streamed += GZIP_GLOBS
-    files = _listing(spark, roots, streamed)
     archive_name = name.rlike(r"\.(tgz|tar\.gz)\z")
-    keep = chosen.name_filter(name) & ~archive_name
-    files = files.where(archive_name | keep if archives else keep)
-    files = files.where(chosen.directory_filter(F.col("path"), roots))
-    lines = files.select("path").mapInArrow(_read_stream_files(name_ok, fail), LINE_SCHEMA)
-    size = files.agg(F.max("length").alias("largest"), F.sum("length").alias("all")).first()
-    if (size["largest"] or 0) >= deal_out_bytes:
-        lines = lines.repartition(max(cores, size["all"] // PIECE_BYTES))
-    if archives:
+    wanted = chosen.name_filter(name) & ~archive_name
+    globs = [*STREAM_GLOBS, *(("*.tgz", "*.tar.gz") if archives else ())]
+    if gzip_files:
+        globs += GZIP_GLOBS
+
+    def whole_files(roots: list[str]) -> DataFrame:
+        files = _listing(spark, roots, globs)
+        files = files.where(archive_name | wanted if archives else wanted)
+        files = files.where(chosen.directory_filter(F.col("path"), roots))
+        lines = files.select("path").mapInArrow(_read_stream_files(name_ok, fail), LINE_SCHEMA)
+        size = files.agg(F.max("length").alias("largest"), F.sum("length").alias("all")).first()
+        if (size["largest"] or 0) >= deal_out_bytes:
+            lines = lines.repartition(max(cores, size["all"] // PIECE_BYTES))
+        return lines
+
+    def tar_pieces(roots: list[str]) -> DataFrame:
         tars = _listing(spark, roots, ["*.tar"])
         tars = tars.where(chosen.directory_filter(F.col("path"), roots)).select("path")
         pieces = tars.mapInArrow(_index_tar(name_ok, fail, piece_bytes), _PIECE_SCHEMA)
-        pieces = pieces.repartition(cores)
-        lines = lines.unionByName(pieces.mapInArrow(_read_pieces(name_ok, fail), LINE_SCHEMA))
+        return pieces.repartition(cores).mapInArrow(_read_pieces(name_ok, fail), LINE_SCHEMA)
+
+    def read(roots: list[str]) -> DataFrame:
+        lines = whole_files(roots)
+        return lines.unionByName(tar_pieces(roots)) if archives else lines
+
+    lines = union_of_groups(read, _as_list(paths))
     return lines.withColumn("value", F.col("value").cast("string"))
 
 

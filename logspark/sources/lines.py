@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable, Sequence
+from collections.abc import Callable, Iterable, Sequence
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -75,6 +76,28 @@ def _path_below(path: Column, roots: Iterable[str]) -> Column:
     return F.coalesce(*cut, plain)
 
 
+def disjoint_groups(roots: Iterable[str]) -> list[list[str]]:
+    """Split roots so that none contains another of its group.
+
+    One file listing names each file once, but a file given twice is to be read twice.
+    """
+    groups: list[list[str]] = []
+    for root in roots:
+        here = _without_scheme(root) + "/"
+        for group in groups:
+            others = [_without_scheme(r) + "/" for r in group]
+            if not any(here.startswith(o) or o.startswith(here) for o in others):
+                group.append(root)
+                break
+        else:
+            groups.append([root])
+    return groups
+
+
+def union_of_groups(read: Callable[[list[str]], DataFrame], roots: Iterable[str]) -> DataFrame:
+    return reduce(DataFrame.unionByName, [read(group) for group in disjoint_groups(roots)])
+
+
 def _as_list(paths: str | Iterable[str]) -> list[str]:
     return [paths] if isinstance(paths, str) else list(paths)
 
@@ -101,25 +124,30 @@ def read_lines(
     ``keep_truncated`` reads a broken compressed file up to its fault, instead of
     failing.
     """
-    roots = _as_list(paths)
     reader = (
         spark.read.option("lineSep", "\n")
         .option("recursiveFileLookup", "true")
         .option("ignoreCorruptFiles", str(keep_truncated).lower())
     )
-    lines = reader.text(roots)
     name, path = F.col("_metadata.file_name"), F.col("_metadata.file_path")
     skip = list(skip)
-    if selection:
-        lines = lines.where(selection.name_filter(name))
-        if selection.exclude_dir:
-            lines = lines.where(selection.directory_filter(path, roots))
-    if skip:
-        lines = lines.where(~glob_matches_any(name, skip))
-    value = strip_color(F.col("value")) if strip else F.col("value")
-    lines = lines.select(
-        path.alias("file"), F.col("_metadata.file_block_start").alias("position"), value.alias("value")
-    )
+
+    def read(roots: list[str]) -> DataFrame:
+        lines = reader.text(roots)
+        if selection:
+            lines = lines.where(selection.name_filter(name))
+            if selection.exclude_dir:
+                lines = lines.where(selection.directory_filter(path, roots))
+        if skip:
+            lines = lines.where(~glob_matches_any(name, skip))
+        value = strip_color(F.col("value")) if strip else F.col("value")
+        return lines.select(
+            path.alias("file"),
+            F.col("_metadata.file_block_start").alias("position"),
+            value.alias("value"),
+        )
+
+    lines = union_of_groups(read, _as_list(paths))
     return lines if keep_empty else lines.where(F.length("value") > 0)
 
 
