@@ -2,9 +2,12 @@
 
 The line is wrapped as ``[line, {sentinel}]`` before it goes to ``from_json``. Text
 after the object then breaks the array or moves the sentinel, so a line counts as
-JSON only when the whole of it is one object. All fields are read as VARIANT: it
-keeps a bare epoch exact and tells a string from a number, so a field of the wrong
-type rejects the line instead of being converted.
+JSON only when the whole of it is one object.
+
+``from_json`` reads a text field from a JSON number or object as well, which would let
+wrong types through. Only a few texts can have come about that way, so those lines, and
+no others, are parsed a second time into a VARIANT, which tells types apart and keeps
+numbers exact.
 """
 
 from __future__ import annotations
@@ -20,10 +23,18 @@ STRING_KEYS = ("source", "message", "session", "error", "trace")
 SCALAR_KEYS = ("timestamp", "log_level", "level")
 WIRE_KEYS = (*SCALAR_KEYS, *STRING_KEYS, "data")
 LIFTED_KEYS = ("session", "trace", "error")
+UNSURE_KEYS = ("timestamp", *STRING_KEYS)
 
 # Fixed value: spaces and the opening brace a JSON candidate starts with.
 CANDIDATE = r"^[ \t\r\n]*\{"
 
+# Texts of a time that do not come from a number with a fraction or exponent.
+SURE_TIME = r"^(?:[1-9][0-9]{7,}\.[0-9]+|[0-9]+|[0-9]{4}-.*)\z"
+# Texts that a JSON number, boolean, object or array also turns into.
+NOT_SURELY_STRING = (
+    r"(?s)^(?:-?[0-9]+(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?|true|false|[\[{].*)\z"
+)
+
 _SENTINEL = "\x7fend-of-line"
 _OPTIONS = {"allowSingleQuotes": "false", "allowNonNumericNumbers": "false"}
 
@@ -33,12 +44,23 @@ def may_be_json(line: Column) -> Column:
     return line.rlike(CANDIDATE)
 
 
+def _worth_parsing(line: Column) -> Column:
+    """False for lines that cannot be one JSON object, told from the text alone.
+
+    A failing parse costs many times a good one, so the common kinds of broken line
+    are kept from it: text after the last brace, and raw escape characters.
+    """
+    ends = F.endswith(F.rtrim(line, F.lit(" \t\r\n")), F.lit("}"))
+    return may_be_json(line) & ends & ~F.contains(line, F.lit("\x1b"))
+
+
 def wrapped_line(line: Column, case_insensitive_keys: bool = False) -> Column:
     """JSON candidates parsed as ``[line, sentinel]``; NULL for broken JSON."""
     wrapped = F.when(
-        may_be_json(line), F.concat(F.lit("["), line, F.lit(f',{{"{_SENTINEL}":true}}]'))
+        _worth_parsing(line), F.concat(F.lit("["), line, F.lit(f',{{"{_SENTINEL}":true}}]'))
     )
-    fields = ",".join(f"`{key}`:variant" for key in (*WIRE_KEYS, _SENTINEL))
+    types = {key: "string" for key in WIRE_KEYS} | {"data": "variant", _SENTINEL: "boolean"}
+    fields = ",".join(f"`{key}`:{type}" for key, type in types.items())
     item = "map<string,variant>" if case_insensitive_keys else f"struct<{fields}>"
     return F.from_json(wrapped, f"array<{item}>", _OPTIONS)
 
@@ -49,25 +71,46 @@ def whole_line(wrapped: Column) -> Column:
     return F.coalesce((F.size(wrapped) == 2) & ended, F.lit(False))
 
 
-def wire_fields(wrapped: Column, case_insensitive_keys: bool = False) -> dict[str, Column]:
-    """The nine wire fields as VARIANT.
+def wire_fields(wrapped: Column) -> dict[str, Column]:
+    """The nine wire fields: ``data`` as VARIANT, the others as text."""
+    record = F.get(wrapped, F.lit(0))
+    return {key: record[key] for key in WIRE_KEYS}
+
 
-    With ``case_insensitive_keys`` top-level keys match in any case. It costs one
-    more map per line.
+def any_case_fields(wrapped: Column) -> dict[str, Column]:
+    """The nine wire fields as VARIANT, found by keys in any case.
+
+    Of several spellings of one key the last one counts.
     """
-    record = F.get(wrapped, F.lit(0))
-    if case_insensitive_keys:
-        # Of several spellings of one key the last one counts.
-        lowered = F.transform(
-            F.reverse(F.map_entries(record)),
-            lambda e: F.struct(F.lower(e["key"]).alias("k"), e["value"].alias("v")),
-        )
+    lowered = F.transform(
+        F.reverse(F.map_entries(F.get(wrapped, F.lit(0)))),
+        lambda e: F.struct(F.lower(e["key"]).alias("k"), e["value"].alias("v")),
+    )
 
-        def last(key: str) -> Column:
-            return F.get(F.filter(lowered, lambda e: e["k"] == key), F.lit(0))["v"]
+    def last(key: str) -> Column:
+        return F.get(F.filter(lowered, lambda e: e["k"] == key), F.lit(0))["v"]
 
-        return {key: last(key) for key in WIRE_KEYS}
-    return {key: record[key] for key in WIRE_KEYS}
+    return {key: last(key) for key in WIRE_KEYS}
+
+
+def unsure(key: str, text: Column) -> Column:
+    """True if the text of a field may stand for JSON of another type.
+
+    A level is checked against a list that such texts are not on. For a time, both
+    a string and a number are fine; what matters is that a number with a fraction has
+    gone through a DOUBLE, whose text never has eight digits before a dot.
+    """
+    if key == "timestamp":
+        return ~text.rlike(SURE_TIME)
+    if key in STRING_KEYS:
+        return text.rlike(NOT_SURELY_STRING)
+    return F.lit(False)
+
+
+def exact_fields(line: Column) -> dict[str, Column]:
+    """The wire fields that can be unsure, as VARIANT, from a line parsed once more."""
+    parsed = F.try_parse_json(line)
+    return {key: F.try_variant_get(parsed, f"$.{key}", "variant") for key in UNSURE_KEYS}
 
 
 def is_absent(value: Column) -> Column:
@@ -100,6 +143,11 @@ def string_value(value: Column) -> Column:
     return F.when(_type(value) == "STRING", value.cast("string"))
 
 
+def strict_text(key: str, value: Column) -> Column:
+    """Text of a VARIANT field under the type rule of its key."""
+    return string_value(value) if key in STRING_KEYS else scalar_text(value)
+
+
 def object_members(value: Column) -> Column:
     """Members of a JSON object as a map, NULL for any other JSON."""
     return F.try_variant_get(value, "$", "map<string,variant>")

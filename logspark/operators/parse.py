@@ -30,16 +30,7 @@ def parse_lines(
     wire = lines.select(
         *origin, "value", entry.wrapped_line(F.col("value"), case_insensitive_keys).alias("w")
     )
-    w = entry.wire_fields(F.col("w"), case_insensitive_keys)
-    texts = wire.select(
-        *origin,
-        "value",
-        entry.whole_line(F.col("w")).alias("whole"),
-        *[entry.scalar_text(w[key]).alias(f"t_{key}") for key in entry.SCALAR_KEYS],
-        *[entry.string_value(w[key]).alias(f"t_{key}") for key in entry.STRING_KEYS],
-        entry.object_members(w["data"]).alias("t_data"),
-        *[entry.is_absent(w[key]).alias(f"no_{key}") for key in entry.WIRE_KEYS],
-    )
+    texts = (_any_case_texts if case_insensitive_keys else _texts)(wire, origin)
     text = F.col("t_timestamp")
     epoch = timestamps.epoch_seconds(text)
     typed = texts.withColumns(
@@ -117,6 +108,59 @@ def parse_lines(
     ).select(*origin, *ENTRY_COLUMNS)
 
 
+def _texts(wire: DataFrame, origin: list[str]) -> DataFrame:
+    """Text of every field, checked against a second parse where its type is unsure."""
+    w = entry.wire_fields(F.col("w"))
+    raw = wire.select(
+        *origin,
+        "value",
+        entry.whole_line(F.col("w")).alias("whole"),
+        *[w[key].alias(f"w_{key}") for key in entry.WIRE_KEYS],
+    )
+    doubt: Column = F.lit(False)
+    for key in entry.UNSURE_KEYS:
+        doubt = doubt | F.coalesce(entry.unsure(key, F.col(f"w_{key}")), F.lit(False))
+    settled = raw.withColumn(
+        "exact",
+        F.when(
+            doubt,
+            F.struct(*[v.alias(k) for k, v in entry.exact_fields(F.col("value")).items()]),
+        ),
+    )
+
+    def text(key: str) -> Column:
+        plain = F.col(f"w_{key}")
+        if key not in entry.UNSURE_KEYS:
+            return plain
+        exact = F.col("exact")
+        return F.when(exact.isNull(), plain).otherwise(entry.strict_text(key, exact[key]))
+
+    keys = (*entry.SCALAR_KEYS, *entry.STRING_KEYS)
+    return settled.select(
+        *origin,
+        "value",
+        "whole",
+        *[text(key).alias(f"t_{key}") for key in keys],
+        entry.object_members(F.col("w_data")).alias("t_data"),
+        *[F.col(f"w_{key}").isNull().alias(f"no_{key}") for key in keys],
+        entry.is_absent(F.col("w_data")).alias("no_data"),
+    )
+
+
+def _any_case_texts(wire: DataFrame, origin: list[str]) -> DataFrame:
+    """The same columns from fields that are VARIANT to begin with."""
+    w = entry.any_case_fields(F.col("w"))
+    keys = (*entry.SCALAR_KEYS, *entry.STRING_KEYS)
+    return wire.select(
+        *origin,
+        "value",
+        entry.whole_line(F.col("w")).alias("whole"),
+        *[entry.strict_text(key, w[key]).alias(f"t_{key}") for key in keys],
+        entry.object_members(w["data"]).alias("t_data"),
+        *[entry.is_absent(w[key]).alias(f"no_{key}") for key in entry.WIRE_KEYS],
+    )
+
+
 def usable_entries(lines: DataFrame, **options) -> DataFrame:
     """Parse and keep only entries with a timestamp."""
     parsed = parse_lines(lines, **options)

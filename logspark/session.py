@@ -8,6 +8,22 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+# Settings that suit the generated code of the parse: methods above 8000 bytes of code
+# are not compiled by HotSpot, so larger ones are better split up.
+TUNING = {
+    "spark.sql.codegen.hugeMethodLimit": "8000",
+    "spark.sql.adaptive.enabled": "true",
+    "spark.sql.adaptive.skewJoin.enabled": "true",
+}
+
+
+def tune(spark: SparkSession) -> SparkSession:
+    """Apply the recommended session settings; results do not depend on them."""
+    for name, value in TUNING.items():
+        spark.conf.set(name, value)
+    return spark
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder of ``spark.checkpoint.dir``, which every executor can reach.
 

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logspark.functions.patterns import glob_matches
-from logspark.session import cut_lineage
+from logspark.session import cut_lineage, spread
 from logspark.sources.lines import (
     ARCHIVE_GLOBS,
     GZIP_GLOBS,
@@ -375,7 +375,8 @@ def read_streamed(
     A broken archive fails the query, or with ``on_archive_error="drop"`` is treated
     the same way. ``gzip_files`` reads plain gzip files here as well, for the same
     handling of faults. If the largest file that cannot be split has ``deal_out_bytes``
-    or more, the lines are dealt out evenly before they go on.
+    or more, or there are fewer tasks than cores, the lines are dealt out evenly before
+    they go on.
     """
     if on_archive_error not in ("fail", "drop"):
         raise ValueError(f"on_archive_error must be 'fail' or 'drop', not {on_archive_error!r}")
@@ -396,8 +397,8 @@ def read_streamed(
         lines = files.select("path").mapInArrow(_read_stream_files(name_ok, fail), LINE_SCHEMA)
         size = files.agg(F.max("length").alias("largest"), F.sum("length").alias("all")).first()
         if (size["largest"] or 0) >= deal_out_bytes:
-            lines = lines.repartition(max(cores, size["all"] // PIECE_BYTES))
-        return lines
+            return lines.repartition(max(cores, size["all"] // PIECE_BYTES))
+        return spread(lines) if (size["all"] or 0) > CHUNK else lines
 
     def tar_pieces(roots: list[str]) -> DataFrame:
         tars = _listing(spark, roots, ["*.tar"])
