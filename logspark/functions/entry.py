@@ -15,9 +15,11 @@ from __future__ import annotations
 import re
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
+from logspark.session import ship_package
+
 # Keys of the wire format.
 STRING_KEYS = ("source", "message", "session", "error", "trace")
 SCALAR_KEYS = ("timestamp", "log_level", "level")
@@ -204,4 +206,5 @@ def indented_data(data: Column, prefix: str = "", indent: str = "    ") -> Colum
     def lay_out(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: _indent_json(t, prefix, indent), na_action="ignore")
 
+    ship_package(SparkSession.active())
     return lay_out(data)

@@ -19,6 +19,8 @@ from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
+from logspark.session import ship_package
+
 # File kinds: name pattern by partition number.
 FILE_NAMES = {
     "log": "app-{}.log",
@@ -79,6 +81,7 @@ def write_files(lines: DataFrame, folder: str, kind: str) -> int:
                     out.write(body)
         yield pa.RecordBatch.from_pydict({"n": [count]})
 
+    ship_package(lines.sparkSession)
     written = lines.select("value").mapInArrow(write, "n bigint")
     return written.groupBy().sum("n").first()[0]
 

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -17,6 +19,9 @@ TUNING = {
 }
 
 
+_shipped: set[str] = set()
+
+
 def tune(spark: SparkSession) -> SparkSession:
     """Apply the recommended session settings; results do not depend on them."""
     for name, value in TUNING.items():
@@ -49,6 +54,20 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Let the Python workers of every executor import this package, once per application."""
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    package = Path(__file__).resolve().parent
+    archive = Path(tempfile.mkdtemp(prefix="logspark-")) / "logspark.zip"
+    with zipfile.ZipFile(archive, "w") as out:
+        for source in sorted(package.rglob("*.py")):
+            out.write(source, source.relative_to(package.parent))
+    context.addPyFile(str(archive))
+    _shipped.add(context.applicationId)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Compute once and keep the result in the shared folder."""
     shared_folder(df.sparkSession)

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logspark.functions.patterns import glob_matches
-from logspark.session import cut_lineage, spread
+from logspark.session import cut_lineage, ship_package, spread
 from logspark.sources.lines import (
     ARCHIVE_GLOBS,
     GZIP_GLOBS,
@@ -380,6 +380,7 @@ def read_streamed(
     """
     if on_archive_error not in ("fail", "drop"):
         raise ValueError(f"on_archive_error must be 'fail' or 'drop', not {on_archive_error!r}")
+    ship_package(spark)
     chosen = selection or FileSelection(all_files=True)
     name_ok, fail = _name_test(chosen), on_archive_error == "fail"
     cores = spark.sparkContext.defaultParallelism
