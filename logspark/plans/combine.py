@@ -12,7 +12,7 @@ from logspark.functions.text import strip_color
 from logspark.operators import combine, quality
 from logspark.operators.parse import parse_lines
 from logspark.schema import ENTRY_COLUMNS
-from logspark.session import cut_lineage, spread
+from logspark.session import scratch_path, spread
 from logspark.sources import archives
 from logspark.sources.lines import (
     ARCHIVE_GLOBS,
@@ -94,6 +94,21 @@ def read_one_file(spark: SparkSession, path: str) -> DataFrame:
     return spread(_columns(lines))
 
 
+def staged(lines: DataFrame, **parse_options) -> DataFrame:
+    """Parsed lines as a Parquet table in the shared folder, without raw text.
+
+    Gate counts, sort sampling and output each go over the parsed lines. With the
+    table they cost a column-pruned, compressed read instead of another decompression
+    and parse, and a lost executor costs no more than that either. The table stays in
+    the folder until it is cleaned up like other checkpoints.
+    """
+    spark = lines.sparkSession
+    path = scratch_path(spark, "staged")
+    parsed = parse_lines(lines, **parse_options).drop("raw")
+    parsed.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(parsed.schema).parquet(path)
+
+
 def entries_of(
     lines: DataFrame,
     *,
@@ -102,18 +117,24 @@ def entries_of(
     where: Column | None = None,
     unique: bool = False,
     sort: bool = True,
+    stage: bool = True,
     **parse_options,
 ) -> DataFrame:
     """Parse, gate, filter, de-duplicate and sort.
 
     The gate sees all lines of a file; ``where`` restricts what comes after it.
-    ``unique`` implies sorting.
+    ``unique`` implies sorting. ``stage`` parses once into a table where the lines
+    would be gone over several times otherwise; see :func:`staged`.
     """
-    parsed = parse_lines(lines, **parse_options)
+    if stage and (gate or (sort and not unique)):
+        parsed = staged(lines, **parse_options)
+    else:
+        parsed = parse_lines(lines, **parse_options).drop("raw")
     if gate:
         entries = quality.file_gate(parsed, bad_line_limit=bad_line_limit, keys=FILE_KEYS)
     else:
         entries = parsed.where(F.col("kind") == "lager").drop("read_error")
+    entries = entries.drop("kind")
     if where is not None:
         entries = entries.where(where)
     if unique:
@@ -133,6 +154,7 @@ def combine_logs(
     on_error: str = "drop_file",
     on_archive_error: str = "fail",
     strip: bool = False,
+    stage: bool = True,
     **parse_options,
 ) -> DataFrame:
     """One time-ordered entry table from files, trees and archives.
@@ -161,19 +183,11 @@ def combine_logs(
         where=where,
         unique=unique,
         sort=sort,
+        stage=stage,
         **parse_options,
     )
 
 
-def staged(lines: DataFrame, **parse_options) -> DataFrame:
-    """Parsed lines written once to the shared folder.
-
-    Gate, sort sampling and output each go over the parsed lines. Staging pays when
-    reading them again is dearer than a written copy, as with compressed archives.
-    """
-    return cut_lineage(parse_lines(lines, **parse_options))
-
-
 def quality_report(
     spark: SparkSession, paths: str | Iterable[str], *, only_mixed: bool = True
 ) -> DataFrame:
