@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from logspark.functions.patterns import java_regex
+from logspark.operators.joins import anti_join, salted_anti_join
+from logspark.schema import FIELDS
 from logspark.session import cut_lineage
 
 # Fixed value: a file with this many bad lines is dropped.
@@ -18,10 +20,6 @@ BAD_LINE_LIMIT = 100
 # A list of dropped files is broadcast up to this many bytes of keys.
 BROADCAST_BYTES = 32 * 1024 * 1024
 
-# A file with more than this share of all lines has its lines spread over several
-# join keys. At most ``1 / share`` files can have it.
-HOT_SHARE = 0.001
-
 
 def gate_counts(entries: DataFrame, keys: tuple[str, ...] = ("file",)) -> DataFrame:
     """Usable and bad lines of every file, plus whether reading it failed."""
@@ -67,7 +65,7 @@ def file_gate(
     A file goes as a whole if it has ``bad_line_limit`` bad lines, no usable line, or
     could not be read to its end. The counts are computed first and kept in the shared
     folder. If the keys of the dropped files are small in bytes they are broadcast and
-    the lines are not shuffled at all; otherwise see :func:`_salted_anti_join`.
+    the lines are not shuffled at all; otherwise see :func:`salted_anti_join`.
 
     ``counts`` may be given when the caller has them already.
     """
@@ -90,56 +88,11 @@ def file_gate(
     if size["n"] == 0:
         return usable
     if size["bytes"] <= broadcast_bytes:
-        return _null_safe_anti_join(usable, F.broadcast(dropped), keys)
-    return _salted_anti_join(usable, dropped, counts, keys)
-
-
-def _null_safe_anti_join(left: DataFrame, right: DataFrame, keys: tuple[str, ...]) -> DataFrame:
-    right = right.select(*[F.col(k).alias(f"_{k}") for k in right.columns])
-    same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
-    if "_salt" in left.columns:
-        same.append(F.col("_salt") == F.col("__salt"))
-    condition = same[0]
-    for part in same[1:]:
-        condition = condition & part
-    return left.join(right, condition, "left_anti")
-
-
-def _salted_anti_join(
-    lines: DataFrame, dropped: DataFrame, counts: DataFrame, keys: tuple[str, ...]
-) -> DataFrame:
-    """Shuffle join in which no file sends more than a small share of lines to one task.
-
-    Files above ``HOT_SHARE`` of all lines are known from the counts and are at most
-    ``1 / HOT_SHARE`` in number, so their salt table can be broadcast.
-    """
-    total = F.col("usable_lines") + F.col("bad_lines")
-    all_lines = counts.agg(F.sum(total)).first()[0]
-    per_key = max(int(all_lines * HOT_SHARE), 1)
-    salts = counts.where(total > per_key).select(
-        *keys, F.ceil(total / F.lit(per_key)).cast("int").alias("salts")
-    )
-
-    def with_salts(df: DataFrame) -> DataFrame:
-        hot = salts.select(*[F.col(k).alias(f"hot_{k}") for k in keys], "salts")
-        condition = F.lit(True)
-        for k in keys:
-            condition = condition & F.col(k).eqNullSafe(F.col(f"hot_{k}"))
-        joined = df.join(F.broadcast(hot), condition, "left")
-        return joined.withColumn("salts", F.coalesce("salts", F.lit(1))).drop(
-            *[f"hot_{k}" for k in keys]
-        )
-
-    columns = lines.columns
-    left = with_salts(lines).withColumn(
-        "_salt",
-        F.pmod(F.xxhash64("epoch_sec", "nanos", "source", "message", "data"), F.col("salts")),
-    )
-    left = left.withColumn("_salt", F.col("_salt").cast("int")).drop("salts")
-    right = with_salts(dropped).select(
-        *keys, F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("_salt")
-    )
-    return _null_safe_anti_join(left, right, keys).select(*columns)
+        return anti_join(usable, F.broadcast(dropped), keys)
+    sizes = counts.select(*keys, (F.col("usable_lines") + F.col("bad_lines")).alias("lines"))
+    # The position tells equal entries of one file apart.
+    salt_on = [*FIELDS, *(c for c in ("position",) if c in usable.columns)]
+    return salted_anti_join(usable, dropped, sizes, keys, salt_on=salt_on)
 
 
 def file_report(entries: DataFrame, keys: tuple[str, ...] = ("file",)) -> DataFrame:

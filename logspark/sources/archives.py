@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logspark.functions.patterns import glob_matches
+from logspark.operators.joins import anti_join, salted_anti_join
 from logspark.session import cut_lineage, ship_package, spread
 from logspark.sources.lines import (
     ARCHIVE_GLOBS,
@@ -424,20 +425,21 @@ def complete_files(lines: DataFrame, broadcast_rows: int = 10_000) -> DataFrame:
     """Lines of files and members read to their end.
 
     A fault without member concerns the whole archive. The faults are counted first:
-    up to ``broadcast_rows`` of them are broadcast, more are joined by file.
+    up to ``broadcast_rows`` of them are broadcast, more go through a salted join.
     """
     faults = cut_lineage(read_faults(lines).select("file", "member").distinct())
     good = lines.where(F.col("read_error").isNull()).drop("read_error")
     n = faults.count()
     if n == 0:
         return good
-    bad = faults.select(F.col("file").alias("bad_file"), F.col("member").alias("bad_member"))
-    small = n <= broadcast_rows
-    whole = bad.where(F.col("bad_member").isNull()).select("bad_file")
-    part = bad.where(F.col("bad_member").isNotNull())
-    if small:
-        whole, part = F.broadcast(whole), F.broadcast(part)
-    good = good.join(whole, F.col("file") == F.col("bad_file"), "left_anti")
-    same = (F.col("file") == F.col("bad_file")) & (F.col("member") == F.col("bad_member"))
-    return good.join(part, same, "left_anti")
-
+    whole = faults.where(F.col("member").isNull()).select("file")
+    part = faults.where(F.col("member").isNotNull())
+    if n <= broadcast_rows:
+        return anti_join(
+            anti_join(good, F.broadcast(whole), ["file"]), F.broadcast(part), ["file", "member"]
+        )
+    sizes = cut_lineage(good.groupBy("file", "member").agg(F.count("*").alias("lines")))
+    by_file = sizes.groupBy("file").agg(F.sum("lines").alias("lines"))
+    salt_on = ("position", "value")
+    kept = salted_anti_join(good, whole, by_file, ["file"], salt_on=salt_on)
+    return salted_anti_join(kept, part, sizes, ["file", "member"], salt_on=salt_on)
