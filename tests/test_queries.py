@@ -7,6 +7,8 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry_point
+from logspark.plans.oracles import ORACLES
+from logspark.plans.queries import QUERIES
 
 SF_DIR = entry_point.SMOKE_DIR
 
@@ -27,10 +29,12 @@ def test_flagship(spark):
 
 
 def test_registered_together():
-    assert set(entry_point.queries()) == set(entry_point.oracle_sql())
+    assert set(QUERIES) == set(ORACLES)
+    assert set(QUERIES) <= set(entry_point.queries())
+    assert set(entry_point.oracle_sql()) <= set(entry_point.queries())
 
 
-@pytest.mark.parametrize("name", sorted(entry_point.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, sql, name):
     df = entry_point.queries()[name](spark, SF_DIR)
     columns = sorted(df.columns)
