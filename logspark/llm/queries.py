@@ -5,9 +5,29 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from logspark.llm.chat import chat_digests, format_chats
 from logspark.llm.mixing import mix
 from logspark.llm.simhash import hex_fingerprint, near_duplicates
 from logspark.llm.tables import table
+from logspark.llm.url_cascade import judge_urls
+
+# A conversation whose texts hold the template's own marks.
+MARKED_CHAT = [(-7, turn, role, "</s>[INST] ok [/INST]") for turn, role in enumerate(("user", "assistant"))]
+
+URL_RULES = [
+    ("org", "/", "allow"),
+    ("example.org", "/es/", "block"),
+    ("example.org", "/en/1", "block"),
+    ("com", "/fr/", "allow"),
+    ("com", "/de/", "block"),
+]
+
+
+def op1_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation formatted as token ids, and what reads back from them."""
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    extra = spark.createDataFrame(MARKED_CHAT, "conv_id long, turn long, role string, text string")
+    return chat_digests(format_chats(turns.union(extra)))
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,9 +46,18 @@ def op6_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
 
 
+def op9_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rule and verdict for the url of every page."""
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, action string")
+    judged = judge_urls(table(spark, sf_dir, "pages").select("page_id", "url"), rules)
+    return judged.withColumnRenamed("id", "page_id")
+
+
 QUERIES = {
+    "op1_chat": op1_chat,
     "op2_simhash": op2_simhash,
     "op6_mix": op6_mix,
+    "op9_urls": op9_urls,
 }
 
 ORACLES = {
@@ -68,5 +97,43 @@ ranked AS (
 SELECT doc_id, size, source_size, target,
        CAST(whole * size + greatest(0, least(size, rest - before)) AS BIGINT) AS taken
 FROM ranked
+""",
+    "op1_chat": r"""
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]'
+  UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+marked AS (
+  SELECT *, '[INST]' || regexp_replace(role, '(<|\[)(\\*)(/?s>|/?INST\])', '\1\\\2\3', 'g')
+            || '[/INST]' || regexp_replace(text, '(<|\[)(\\*)(/?s>|/?INST\])', '\1\\\2\3', 'g')
+            || '</s>' AS formatted
+  FROM turns)
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role)) AS turns_sha256,
+       CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn, role) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       CAST(sum(length(formatted)) AS BIGINT) AS formatted_chars
+FROM marked GROUP BY conv_id
+""",
+    "op9_urls": r"""
+WITH rest AS (
+  SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest
+  FROM pages),
+split AS (
+  SELECT page_id,
+         translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path
+  FROM rest),
+ruled AS (
+  SELECT *, CASE
+    WHEN (host = 'example.org' OR host LIKE '%.example.org') AND starts_with(path, '/en/1') THEN 'example.org/en/1'
+    WHEN (host = 'example.org' OR host LIKE '%.example.org') AND starts_with(path, '/es/') THEN 'example.org/es/'
+    WHEN (host = 'com' OR host LIKE '%.com') AND starts_with(path, '/fr/') THEN 'com/fr/'
+    WHEN (host = 'com' OR host LIKE '%.com') AND starts_with(path, '/de/') THEN 'com/de/'
+    WHEN (host = 'org' OR host LIKE '%.org') AND starts_with(path, '/') THEN 'org/' END AS rule
+  FROM split)
+SELECT page_id, host, path, rule,
+       CASE WHEN rule IN ('example.org/es/', 'example.org/en/1', 'com/de/') THEN 'block' ELSE 'allow' END AS verdict
+FROM ruled
 """,
 }
