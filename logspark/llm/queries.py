@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logspark.llm.chat import chat_digests, format_chats
+from logspark.llm.language import identify_languages
 from logspark.llm.mixing import mix
 from logspark.llm.simhash import hex_fingerprint, near_duplicates
 from logspark.llm.tables import table
@@ -40,6 +41,11 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predicted language of every document."""
+    return identify_languages(table(spark, sf_dir, "documents"))
+
+
 def op6_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that a mix of all sources takes of every document."""
     mixed = mix(table(spark, sf_dir, "documents"))
@@ -56,6 +62,7 @@ def op9_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_chat": op1_chat,
     "op2_simhash": op2_simhash,
+    "op3_language": op3_language,
     "op6_mix": op6_mix,
     "op9_urls": op9_urls,
 }
