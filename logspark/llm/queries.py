@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logspark.llm.chat import chat_digests, format_chats
+from logspark.llm.decontamination import find_contamination
 from logspark.llm.language import identify_languages
+from logspark.llm.line_dedup import deduplicate_lines
 from logspark.llm.mixing import mix
 from logspark.llm.simhash import hex_fingerprint, near_duplicates
 from logspark.llm.tables import table
@@ -46,6 +48,24 @@ def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_languages(table(spark, sf_dir, "documents"))
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items found in documents."""
+    found = find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select(
+        F.col("id").alias("doc_id"), F.col("item").alias("item_id"), F.round("share", 6).alias("share"), "kind"
+    )
+
+
+def op7_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document after repeated runs of lines went."""
+    kept = deduplicate_lines(table(spark, sf_dir, "documents"))
+    return kept.select(
+        "doc_id",
+        F.length("text").cast("long").alias("kept_chars"),
+        F.sha2("text", 256).alias("kept_sha256"),
+    )
+
+
 def op6_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that a mix of all sources takes of every document."""
     mixed = mix(table(spark, sf_dir, "documents"))
@@ -63,7 +83,9 @@ QUERIES = {
     "op1_chat": op1_chat,
     "op2_simhash": op2_simhash,
     "op3_language": op3_language,
+    "op5_decontamination": op5_decontamination,
     "op6_mix": op6_mix,
+    "op7_lines": op7_lines,
     "op9_urls": op9_urls,
 }
 
@@ -142,5 +164,24 @@ ruled AS (
 SELECT page_id, host, path, rule,
        CASE WHEN rule IN ('example.org/es/', 'example.org/en/1', 'com/de/') THEN 'block' ELSE 'allow' END AS verdict
 FROM ruled
+""",
+    "op7_lines": """
+WITH l AS (
+  SELECT doc_id, generate_subscripts(a, 1) AS i, unnest(a) AS line
+  FROM (SELECT doc_id, string_split(text, chr(10)) AS a FROM documents WHERE text IS NOT NULL)),
+w AS (
+  SELECT doc_id, i, line || chr(10) || lead(line, 1) OVER d || chr(10) || lead(line, 2) OVER d AS w
+  FROM l WINDOW d AS (PARTITION BY doc_id ORDER BY i)),
+f AS (
+  SELECT doc_id, i, row_number() OVER (PARTITION BY w ORDER BY doc_id, i) AS r FROM w WHERE w IS NOT NULL),
+gone AS (
+  SELECT DISTINCT doc_id, i + k AS i FROM f, (VALUES (0), (1), (2)) t(k) WHERE r > 1),
+kept AS (
+  SELECT l.doc_id, string_agg(l.line, chr(10) ORDER BY l.i) AS text
+  FROM l LEFT JOIN gone g ON l.doc_id = g.doc_id AND l.i = g.i WHERE g.i IS NULL GROUP BY l.doc_id),
+whole AS (
+  SELECT d.doc_id, CASE WHEN d.text IS NOT NULL THEN coalesce(k.text, '') END AS text
+  FROM documents d LEFT JOIN kept k ON d.doc_id = k.doc_id)
+SELECT doc_id, CAST(length(text) AS BIGINT) AS kept_chars, sha256(text) AS kept_sha256 FROM whole
 """,
 }
