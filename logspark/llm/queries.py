@@ -13,6 +13,8 @@ from logspark.llm.mixing import mix
 from logspark.llm.simhash import hex_fingerprint, near_duplicates
 from logspark.llm.tables import table
 from logspark.llm.url_cascade import judge_urls
+from logspark.llm.warc import page_records, read_archives, write_archives
+from logspark.session import scratch_path
 
 # A conversation whose texts hold the template's own marks.
 MARKED_CHAT = [(-7, turn, role, "</s>[INST] ok [/INST]") for turn, role in enumerate(("user", "assistant"))]
@@ -79,6 +81,13 @@ def op9_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.withColumnRenamed("id", "page_id")
 
 
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page written to WARC archives and read back."""
+    path = scratch_path(spark, "warc")
+    write_archives(table(spark, sf_dir, "pages").select("page_id", "url", "html"), path)
+    return page_records(read_archives(spark, path, data=False))
+
+
 QUERIES = {
     "op1_chat": op1_chat,
     "op2_simhash": op2_simhash,
@@ -87,6 +96,7 @@ QUERIES = {
     "op6_mix": op6_mix,
     "op7_lines": op7_lines,
     "op9_urls": op9_urls,
+    "op10_warc": op10_warc,
 }
 
 ORACLES = {
