@@ -10,6 +10,7 @@ from logspark.llm.decontamination import find_contamination
 from logspark.llm.language import identify_languages
 from logspark.llm.line_dedup import deduplicate_lines
 from logspark.llm.mixing import mix
+from logspark.llm.nearest import nearest_neighbours
 from logspark.llm.simhash import hex_fingerprint, near_duplicates
 from logspark.llm.tables import table
 from logspark.llm.url_cascade import judge_urls
@@ -81,6 +82,13 @@ def op9_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.withColumnRenamed("id", "page_id")
 
 
+def op8_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The twenty nearest vectors of every vector whose id is divisible by 20."""
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    found = nearest_neighbours(vectors, F.col("vec_id") % 20 == 0)
+    return found.withColumnRenamed("id", "vec_id")
+
+
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page written to WARC archives and read back."""
     path = scratch_path(spark, "warc")
@@ -95,6 +103,7 @@ QUERIES = {
     "op5_decontamination": op5_decontamination,
     "op6_mix": op6_mix,
     "op7_lines": op7_lines,
+    "op8_neighbours": op8_neighbours,
     "op9_urls": op9_urls,
     "op10_warc": op10_warc,
 }
