@@ -12,6 +12,7 @@ from logspark.llm.line_dedup import deduplicate_lines
 from logspark.llm.mixing import mix
 from logspark.llm.nearest import nearest_neighbours
 from logspark.llm.simhash import hex_fingerprint, near_duplicates
+from logspark.llm.suffix_dedup import remove_repeats
 from logspark.llm.tables import table
 from logspark.llm.url_cascade import judge_urls
 from logspark.llm.warc import page_records, read_archives, write_archives
@@ -51,6 +52,18 @@ def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_languages(table(spark, sf_dir, "documents"))
 
 
+def op4_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without strings of 400 bytes that repeat."""
+    left = remove_repeats(table(spark, sf_dir, "documents"))
+    return left.select(
+        F.col("id").alias("doc_id"),
+        "n_bytes",
+        (F.col("n_bytes") - F.octet_length("kept")).alias("n_removed"),
+        F.size("spans").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark items found in documents."""
     found = find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -100,6 +113,7 @@ QUERIES = {
     "op1_chat": op1_chat,
     "op2_simhash": op2_simhash,
     "op3_language": op3_language,
+    "op4_suffixes": op4_suffixes,
     "op5_decontamination": op5_decontamination,
     "op6_mix": op6_mix,
     "op7_lines": op7_lines,
