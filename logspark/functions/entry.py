@@ -34,11 +34,18 @@ CANDIDATE = r"^[ \t\r\n]*\{"
 SURE_TIME = r"^(?:[1-9][0-9]{7,}\.[0-9]+|[0-9]+|[0-9]{4}-.*)\z"
 # Texts that a JSON number, boolean, object or array also turns into.
 NOT_SURELY_STRING = (
-    r"(?s)^(?:-?[0-9]+(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?|true|false|[\[{].*)\z"
+    r'(?s)^(?:-?[0-9]+(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?|"?-?Infinity"?|true|false|[\[{].*)\z'
 )
 
 _SENTINEL = "\x7fend-of-line"
-_OPTIONS = {"allowSingleQuotes": "false", "allowNonNumericNumbers": "false"}
+_OPTIONS = {
+    "allowSingleQuotes": "false",
+    "allowNonNumericNumbers": "false",
+    # The reader's own limits would turn long but valid lines into raw ones.
+    "maxStringLen": str(2**31 - 1),
+    "maxNumLen": str(2**31 - 1),
+    "maxNestingDepth": "10000",
+}
 
 
 def may_be_json(line: Column) -> Column:
@@ -111,8 +118,9 @@ def unsure(key: str, text: Column) -> Column:
 
 def exact_fields(line: Column) -> dict[str, Column]:
     """The wire fields that can be unsure, as VARIANT, from a line parsed once more."""
-    parsed = F.try_parse_json(line)
-    return {key: F.try_variant_get(parsed, f"$.{key}", "variant") for key in UNSURE_KEYS}
+    fields = ",".join(f"`{key}` variant" for key in UNSURE_KEYS)
+    parsed = F.from_json(line, fields, _OPTIONS)
+    return {key: parsed[key] for key in UNSURE_KEYS}
 
 
 def is_absent(value: Column) -> Column:

@@ -8,11 +8,20 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+# A table of keys is broadcast up to this many bytes.
+BROADCAST_BYTES = 32 * 1024 * 1024
+
 # A key with more than this share of all lines has them spread over several salts. At
 # most ``1 / share`` keys can have it.
 HOT_SHARE = 0.001
 
 
+def key_bytes(keyed: DataFrame, keys: Sequence[str]) -> int | None:
+    """Bytes that the keys take in memory, None if there are no rows."""
+    row = [F.coalesce(F.octet_length(F.col(k).cast("string")), F.lit(0)) + 64 for k in keys]
+    return keyed.agg(F.sum(reduce(lambda a, b: a + b, row))).first()[0]
+
+
 def anti_join(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Rows of ``left`` whose keys are not in ``right``; NULL equals NULL."""
     right = right.select(*[F.col(k).alias(f"_right_{k}") for k in keys])

@@ -21,7 +21,8 @@ def parse_lines(
     without time, and ``raw`` for every other line, whose text is kept in ``raw``.
     Works on batch and streaming input; no shuffle and no Python.
     """
-    # A line that repeats a key keeps the last value.
+    # A line that repeats a key keeps the last value. Stays on for the session, since the
+    # lines are parsed when the result is used.
     lines.sparkSession.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
     origin = [c for c in lines.columns if c != "value"]
 

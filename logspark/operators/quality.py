@@ -10,25 +10,24 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from logspark.functions.patterns import java_regex
-from logspark.operators.joins import anti_join, salted_anti_join
+from logspark.operators.joins import BROADCAST_BYTES, anti_join, key_bytes, salted_anti_join
 from logspark.schema import FIELDS
 from logspark.session import cut_lineage
 
 # Fixed value: a file with this many bad lines is dropped.
 BAD_LINE_LIMIT = 100
 
-# A list of dropped files is broadcast up to this many bytes of keys.
-BROADCAST_BYTES = 32 * 1024 * 1024
-
 
 def gate_counts(entries: DataFrame, keys: tuple[str, ...] = ("file",)) -> DataFrame:
-    """Usable and bad lines of every file, plus whether reading it failed."""
+    """Usable and bad lines of every file, whether reading it failed, and how."""
     usable = F.col("kind") == "lager"
-    failed = F.col("read_error").isNotNull() if "read_error" in entries.columns else F.lit(False)
+    error = F.col("read_error") if "read_error" in entries.columns else F.lit(None).cast("string")
+    failed = error.isNotNull()
     return entries.groupBy(*keys).agg(
         F.count_if(usable & ~failed).alias("usable_lines"),
         F.count_if(~usable & ~failed).alias("bad_lines"),
         F.max(failed).alias("failed"),
+        F.max(error).alias("read_error"),
     )
 
 
@@ -36,20 +35,39 @@ def _spread_faults(counts: DataFrame, keys: tuple[str, ...]) -> DataFrame:
     """A fault of a whole archive (no member given) is a fault of all its members."""
     if "member" not in keys:
         return counts
-    archive = counts.groupBy(F.col("file").alias("archive")).agg(
-        F.max(F.col("failed") & F.col("member").isNull()).alias("archive_failed")
-    )
-    joined = counts.join(archive, F.col("file") == F.col("archive"))
-    return joined.withColumn("failed", F.col("failed") | F.col("archive_failed")).select(
-        *counts.columns
+    # Only archives that failed as a whole matter, so no archive's members meet in one task.
+    broken = cut_lineage(
+        counts.where(F.col("failed") & F.col("member").isNull())
+        .groupBy(F.col("file").alias("archive"))
+        .agg(F.max("read_error").alias("archive_error"))
     )
+    size = key_bytes(broken, ["archive", "archive_error"])
+    if size is None:
+        return counts
+    broken = F.broadcast(broken) if size <= BROADCAST_BYTES else broken
+    joined = counts.join(broken, F.col("file") == F.col("archive"), "left")
+    return joined.withColumns(
+        {
+            "failed": F.col("failed") | F.col("archive").isNotNull(),
+            "read_error": F.coalesce("read_error", "archive_error"),
+        }
+    ).select(*counts.columns)
 
 
-def passes_gate(bad_line_limit: int = BAD_LINE_LIMIT) -> Column:
+def file_counts(entries: DataFrame, keys: tuple[str, ...] = ("file",)) -> DataFrame:
+    """:func:`gate_counts` kept in the shared folder, faults of archives on all members."""
+    return _spread_faults(cut_lineage(gate_counts(entries, keys)), keys)
+
+
+def with_verdict(counts: DataFrame, bad_line_limit: int = BAD_LINE_LIMIT) -> DataFrame:
+    """Counts of every file with ``kept``: what went into the result and what did not, and why."""
+    return counts.drop("failed").withColumn("kept", passes_gate(bad_line_limit, F.col("read_error").isNotNull()))
+
+
+def passes_gate(bad_line_limit: int = BAD_LINE_LIMIT, failed: Column | None = None) -> Column:
     """Condition on :func:`gate_counts` for a file to be kept."""
-    return (
-        (F.col("bad_lines") < bad_line_limit) & (F.col("usable_lines") > 0) & ~F.col("failed")
-    )
+    failed = F.col("failed") if failed is None else failed
+    return (F.col("bad_lines") < bad_line_limit) & (F.col("usable_lines") > 0) & ~failed
 
 
 def file_gate(
@@ -72,22 +90,17 @@ def file_gate(
     if entries.isStreaming:
         raise ValueError("the file gate needs whole files; it cannot run on a stream")
     if counts is None:
-        counts = cut_lineage(_spread_faults(gate_counts(entries, keys), keys))
+        counts = file_counts(entries, keys)
     dropped = counts.where(~passes_gate(bad_line_limit))
     # Dropped files matter only if usable lines of theirs would pass otherwise.
     dropped = dropped.where((F.col("usable_lines") > 0)).select(*keys)
-    size = dropped.agg(
-        F.count("*").alias("n"),
-        F.sum(sum((F.coalesce(F.octet_length(k), F.lit(0)) + 64 for k in keys), F.lit(0))).alias(
-            "bytes"
-        ),
-    ).first()
+    size = key_bytes(dropped, keys)
     usable = entries.where(F.col("kind") == "lager")
     if "read_error" in entries.columns:
         usable = usable.where(F.col("read_error").isNull()).drop("read_error")
-    if size["n"] == 0:
+    if size is None:
         return usable
-    if size["bytes"] <= broadcast_bytes:
+    if size <= broadcast_bytes:
         return anti_join(usable, F.broadcast(dropped), keys)
     sizes = counts.select(*keys, (F.col("usable_lines") + F.col("bad_lines")).alias("lines"))
     # The position tells equal entries of one file apart.

@@ -405,7 +405,18 @@ ORACLES: dict[str, str] = {
         WHERE node IN ('node-0.log', 'node-1.log', 'node-2.log', 'node-9.log')"""
     ),
     "damaged_files_dropped": ALL_LINES,
-    "combine_tree": over_entries(UNIQUE),
+    "combine_tree": f"""WITH {parsed()}, {GATE}, gated AS ({GATED})
+        SELECT DISTINCT {FIELD_LIST}, level_name FROM gated""",
+    "overlapping_roots": f"""WITH {parsed()}, {GATE}, gated AS ({GATED})
+        SELECT {FIELD_LIST} FROM gated, generate_series(1, 2)""",
+    "dropped_files": f"""WITH {parsed()}, {GATE}
+        SELECT unit AS file, usable_lines, bad_lines, FALSE AS failed,
+          bad_lines < 100 AND usable_lines > 0 AS kept FROM counts
+        UNION ALL SELECT 'damaged', 0, 0, TRUE, FALSE""",
+    "hidden_paths": over_lines("SELECT value FROM lines, generate_series(1, 2)"),
+    "single_file_stripped": over_entries(
+        f"SELECT {FIELD_LIST} FROM entries", value=NO_COLOR.format(v="value")
+    ),
     "stream_filtered": over_entries(f"SELECT {FIELD_LIST} FROM entries WHERE log_level >= 1"),
     "stream_unique": over_entries(f"SELECT DISTINCT {FIELD_LIST} FROM entries"),
     "stream_sorted_batches": ENTRY_FIELDS,

@@ -16,7 +16,7 @@ from logspark.functions import entry, levels, text, timestamps
 from logspark.functions.patterns import glob_matches_any, matches, matches_any
 from logspark.operators import combine, filters, quality
 from logspark.operators.parse import parse_lines, usable_entries
-from logspark.plans.combine import combine_logs, entries_of, read_tree
+from logspark.plans.combine import combine_job, combine_logs, entries_of, read_tree
 from logspark.plans.sample_files import write_files
 from logspark.plans.sample_lines import (
     COLOR_OFF,
@@ -654,11 +654,14 @@ def default_log_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def selected_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Include, exclude and excluded directories over one directory per node."""
-    path = scratch_path(spark, "nodes")
-    lines = sample_lines(spark, sf_dir).withColumnRenamed("file", "node")
-    lines.write.partitionBy("node").text(path)
+    path = scratch_path(spark, "my nodes+é")
+    lines = sample_lines(spark, sf_dir).withColumn("node", F.concat(F.lit("a b+é%"), "file"))
+    lines.drop("file").write.partitionBy("node").text(path)
+    # Spark writes the percent sign of a partition value as %25; the name is just that.
     selection = FileSelection(
-        include=["part-*"], exclude=["*.gz"], exclude_dir=["node=node-[1-3].log", "*-7*"]
+        include=["part-*"],
+        exclude=["*.gz"],
+        exclude_dir=["node=a b+é%25node-[1-3].log", "*-7*", "my nodes*"],
     )
     return read_lines(spark, path, selection=selection).select("value")
 
@@ -677,12 +680,66 @@ def damaged_files_dropped(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archives.complete_files(read_tree(spark, folder)).select("value")
 
 
+def _unit_files(spark: SparkSession, sf_dir: str, *codecs: str) -> str:
+    """Folder with the lines of each unit in one file per codec."""
+    folder = scratch_path(spark, "units")
+    lines = sample_lines(spark, sf_dir, "unit").withColumnRenamed("file", "unit").repartition("unit")
+    for codec in codecs:
+        lines.write.partitionBy("unit").option("compression", codec).text(f"{folder}/{codec}")
+    return folder
+
+
+UNIT_FILES = FileSelection(include=["part-*"])
+
+
 @query
 def combine_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The whole job over plain, gzip and archived logs: one entry per distinct event."""
-    folder = _written(spark, sf_dir, "log", "gz", "tar")
-    combined = combine_logs(spark, folder, unique=True, bad_line_limit=2**31)
-    return combined.drop("timestamp")
+    """The whole job over plain and gzip logs, poor files dropped: one entry per event."""
+    folder = _unit_files(spark, sf_dir, "none", "gzip")
+    return combine_logs(spark, folder, selection=UNIT_FILES, unique=True).drop("timestamp")
+
+
+@query
+def overlapping_roots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A root given twice: each reading of a file is gated by itself."""
+    folder = _unit_files(spark, sf_dir, "none")
+    entries = combine_logs(spark, [folder, f"{folder}/none"], selection=UNIT_FILES, sort=False)
+    return entries.select(*FIELDS)
+
+
+@query
+def dropped_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the whole job says about every file it read, damaged ones included."""
+    folder = _unit_files(spark, sf_dir, "none")
+    write_files(sample_lines(spark, sf_dir).coalesce(1), folder, "damaged")
+    files = combine_job(
+        spark, folder, selection=FileSelection(include=["part-*", "broken-*"])
+    ).files
+    damaged = F.contains("file", F.lit("/broken-"))
+    return files.select(
+        F.when(damaged, "damaged").otherwise(F.regexp_extract("file", "unit=([^/]+)", 1)).alias("file"),
+        # How many lines come before a fault depends on the sizes of reads.
+        *[F.when(damaged, F.lit(0)).otherwise(F.col(c)).alias(c) for c in ("usable_lines", "bad_lines")],
+        F.col("read_error").isNotNull().alias("failed"),
+        "kept",
+    )
+
+
+@query
+def hidden_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names starting with an underscore are read, those starting with a dot are not."""
+    folder = _written(spark, sf_dir, "log", "underscore", "dot")
+    return read_tree(spark, folder, selection=FileSelection(include=["*.log"])).select("value")
+
+
+@query
+def single_file_stripped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One gzip file named outright: no gate, colours removed before the parse."""
+    folder = scratch_path(spark, "one")
+    lines = sample_lines(spark, sf_dir).select("value")
+    write_files(lines.coalesce(1), folder, "gz")
+    entries = combine_logs(spark, f"{folder}/app-0.log.1.gz", strip=True, sort=False)
+    return entries.select(*FIELDS)
 
 
 # --- streaming -------------------------------------------------------------------

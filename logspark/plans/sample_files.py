@@ -15,11 +15,11 @@ from collections.abc import Iterator
 from contextlib import ExitStack
 
 import pyarrow as pa
-from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from logspark.session import ship_package
+from logspark.sources.files import locate
 
 # File kinds: name pattern by partition number.
 FILE_NAMES = {
@@ -30,14 +30,13 @@ FILE_NAMES = {
     "tgz": "bundle-{}.tgz",
     "nested": "outer-{}.tar",
     "damaged": "broken-{}.log.1.gz",
+    "underscore": "_app-{}.log",
+    "dot": ".app-{}.log",
 }
 
 
 def _output(folder: str, name: str):
-    if "://" in folder:
-        system, inner = fs.FileSystem.from_uri(folder)
-    else:
-        system, inner = fs.LocalFileSystem(), folder.removeprefix("file:")
+    system, inner = locate(folder)
     system.create_dir(inner, recursive=True)
     return system.open_output_stream(f"{inner}/{name}", compression=None)
 

@@ -18,7 +18,7 @@ FIELDS = (
 
 # Where a line came from: its file, the archive member inside it if any, and the
 # position of the line (line number in an archive member, else split offset).
-ORIGIN = ("file", "member", "position")
+ORIGIN = ("file", "member", "stream", "position")
 
 # Every column of a parsed line.
 ENTRY_COLUMNS = (

@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 # Settings that suit the generated code of the parse: methods above 8000 bytes of code
 # are not compiled by HotSpot, so larger ones are better split up.
 TUNING = {
+    # A line that repeats a key keeps the last value.
+    "spark.sql.variant.allowDuplicateKeys": "true",
     "spark.sql.codegen.hugeMethodLimit": "8000",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
@@ -74,13 +76,14 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Deal rows out evenly when the scan has fewer tasks than the cluster has cores.
+def spread(df: DataFrame, files: int | None = None) -> DataFrame:
+    """Deal rows out evenly over the cores, for few files that cannot be split.
 
-    Meant for the few large files that cannot be split (gzip, xz, tar), before the
-    costly parse. Wider scans are returned as they are, without a shuffle.
+    Meant for gzip, xz and tar files and single small tables, before the costly parse.
+    With ``files``, nothing is done from as many files on as there are cores. Decided
+    without planning or running anything.
     """
-    if df.isStreaming:
-        return df
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    if df.isStreaming or (files is not None and files >= cores):
+        return df
+    return df.repartition(cores)

@@ -15,26 +15,42 @@ import lzma
 import tarfile
 import zlib
 from collections.abc import Callable, Iterable, Iterator
-from urllib.parse import quote
+from functools import reduce
+from itertools import islice
 
 import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logspark.functions.patterns import glob_matches
-from logspark.operators.joins import anti_join, salted_anti_join
-from logspark.session import cut_lineage, ship_package, spread
+from logspark.functions.patterns import glob_matches, glob_matches_any
+from logspark.operators.joins import BROADCAST_BYTES, anti_join, key_bytes, salted_anti_join
+from logspark.session import cut_lineage, scratch_path, ship_package, spread
+from logspark.sources.files import locate, open_file
 from logspark.sources.lines import (
     ARCHIVE_GLOBS,
     GZIP_GLOBS,
     STREAM_GLOBS,
     FileSelection,
     _as_list,
+    disjoint_groups,
     union_of_groups,
 )
 
-READ_ERRORS = (OSError, EOFError, zlib.error, lzma.LZMAError, tarfile.TarError)
+_ERRORS = (OSError, EOFError, zlib.error, lzma.LZMAError, tarfile.TarError)
+_DAMAGE = (gzip.BadGzipFile, EOFError, zlib.error, lzma.LZMAError, tarfile.TarError)
+
+
+def is_damage(error: Exception) -> bool:
+    """True for a fault of the file itself; others, such as a lost connection, may pass."""
+    # What the bzip2 module raises has no type of its own.
+    bzip2 = type(error) is OSError and error.args == ("Invalid data stream",)
+    return bzip2 or isinstance(error, _DAMAGE)
+
+
+def _is_closed(error: Exception) -> bool:
+    return isinstance(error, (FileNotFoundError, PermissionError))
+
 CHUNK = 1 << 20
 
 # Size of the pieces a large member of an uncompressed tar is read in, and the size
@@ -42,11 +58,16 @@ CHUNK = 1 << 20
 PIECE_BYTES = 64 * CHUNK
 DEAL_OUT_BYTES = 256 * CHUNK
 
-LINE_SCHEMA = "file string, member string, position bigint, value binary, read_error string"
+# ``stream`` holds where the member stands in its archive (in each archive around it):
+# names can repeat in one archive, and each member is judged by itself.
+LINE_SCHEMA = (
+    "file string, member string, stream string, position bigint, value binary, read_error string"
+)
 _ARROW = pa.schema(
     [
         ("file", pa.string()),
         ("member", pa.string()),
+        ("stream", pa.string()),
         ("position", pa.int64()),
         ("value", pa.binary()),
         ("read_error", pa.string()),
@@ -56,15 +77,6 @@ _ARROW = pa.schema(
 Batches = Iterator[pa.RecordBatch]
 
 
-def open_file(path: str) -> pa.NativeFile:
-    """Open a file for reading from wherever its URI points."""
-    if path.startswith("file:") or "://" not in path:
-        local = path.removeprefix("file:")
-        return fs.LocalFileSystem().open_input_file("/" + local.lstrip("/"))
-    system, inner = fs.FileSystem.from_uri(quote(path, safe=":/@?=&%"))
-    return system.open_input_file(inner)
-
-
 def _decompressed(stream, name: str):
     if name.endswith((".gz", ".tgz")):
         return gzip.GzipFile(fileobj=stream)
@@ -73,7 +85,9 @@ def _decompressed(stream, name: str):
     return lzma.LZMAFile(stream) if name.endswith(".xz") else stream
 
 
-def _batch(file: str, member: str | None, first: int, lines: list[bytes]) -> pa.RecordBatch:
+def _batch(
+    file: str, member: str | None, stream: str | None, first: int, lines: list[bytes]
+) -> pa.RecordBatch:
     """Non-empty lines with their line numbers, counted from ``first``."""
     kept = [(first + i, line) for i, line in enumerate(lines) if line]
     n = len(kept)
@@ -81,6 +95,7 @@ def _batch(file: str, member: str | None, first: int, lines: list[bytes]) -> pa.
         [
             pa.array([file] * n, pa.string()),
             pa.array([member] * n, pa.string()),
+            pa.array([stream] * n, pa.string()),
             pa.array([p for p, _ in kept], pa.int64()),
             pa.array([v for _, v in kept], pa.binary()),
             pa.nulls(n, pa.string()),
@@ -89,13 +104,12 @@ def _batch(file: str, member: str | None, first: int, lines: list[bytes]) -> pa.
     )
 
 
-def _error(file: str, member: str | None, error: Exception) -> pa.RecordBatch:
-    text = f"{type(error).__name__}: {error}"
-    row = {"file": file, "member": member, "position": None, "value": None, "read_error": text}
+def _error(file: str, member: str | None, at: str | None, error: Exception) -> pa.RecordBatch:
+    row = {"file": file, "member": member, "stream": at, "read_error": f"{type(error).__name__}: {error}"}
     return pa.RecordBatch.from_pylist([row], schema=_ARROW)
 
 
-def _line_batches(stream, file: str, member: str | None) -> Batches:
+def _line_batches(stream, file: str, member: str | None, at: str | None) -> Batches:
     """Split a byte stream at newlines, one batch per chunk."""
     rest: list[bytes] = []
     number = 1
@@ -105,19 +119,24 @@ def _line_batches(stream, file: str, member: str | None) -> Batches:
             rest.append(chunk)
             continue
         lines = (b"".join(rest) + head).split(b"\n")
-        yield _batch(file, member, number, lines)
+        yield _batch(file, member, at, number, lines)
         number += len(lines)
         rest = [tail]
     if last := b"".join(rest):
-        yield _batch(file, member, number, [last])
+        yield _batch(file, member, at, number, [last])
 
 
-def _guarded(batches: Batches, file: str, member: str | None) -> Batches:
-    """Turn a read fault into an error row, which later drops the whole file."""
+def _guarded(batches: Batches, file: str, member: str | None, at: str | None, fail: bool) -> Batches:
+    """Turn damage into an error row, which later drops the whole file.
+
+    Other faults fail the task, so that Spark tries it again.
+    """
     try:
         yield from batches
-    except READ_ERRORS as e:
-        yield _error(file, member, e)
+    except _ERRORS as e:
+        if fail or not is_damage(e):
+            raise
+        yield _error(file, member, at, e)
 
 
 def _is(name: str, globs: Iterable[str]) -> bool:
@@ -143,22 +162,28 @@ def _members(tar: tarfile.TarFile) -> Iterator[tarfile.TarInfo]:
             yield info
 
 
-def _tar_batches(stream, file: str, prefix: str, name_ok: Callable[[str], bool]) -> Batches:
+def _tar_batches(
+    stream, file: str, prefix: str, around: str, name_ok: Callable[[str], bool], fail_file: bool
+) -> Batches:
     """Lines of every regular, non-empty member of a tar stream; nested tars open up."""
     with tarfile.open(fileobj=stream, mode="r|", tarinfo=_StrictMember) as tar:
         for info in _members(tar):
-            member = f"{prefix}{info.name}"
+            member, at = f"{prefix}{info.name}", f"{around}{info.offset}"
             if _is(info.name, ARCHIVE_GLOBS):
                 inner = _decompressed(tar.extractfile(info), info.name)
-                yield from _tar_batches(inner, file, f"{member}!", name_ok)
+                yield from _tar_batches(inner, file, f"{member}!", f"{at}!", name_ok, fail_file)
             elif name_ok(info.name):
                 body = tar.extractfile(info)
                 body = _decompressed(body, info.name) if _is(info.name, GZIP_GLOBS) else body
-                yield from _guarded(_line_batches(body, file, member), file, member)
+                lines = _line_batches(body, file, member, at)
+                yield from _guarded(lines, file, member, at, fail_file)
 
 
-def _read_stream_files(name_ok: Callable[[str], bool], fail: bool):
-    """Task body: whole files, from the front."""
+def _read_stream_files(name_ok: Callable[[str], bool], fail: bool, fail_file: bool):
+    """Task body: whole files, from the front.
+
+    ``fail`` is about broken archives, ``fail_file`` about other files and members.
+    """
     def read(batches: Batches) -> Batches:
         for batch in batches:
             for path in batch.column("path").to_pylist():
@@ -169,19 +194,21 @@ def _read_stream_files(name_ok: Callable[[str], bool], fail: bool):
             with open_file(path) as raw:
                 stream = _decompressed(raw, path)
                 if _is(path, ARCHIVE_GLOBS):
-                    yield from _tar_batches(stream, path, "", name_ok)
+                    yield from _tar_batches(stream, path, "", "", name_ok, fail_file)
                 else:
-                    yield from _guarded(_line_batches(stream, path, None), path, None)
-        except READ_ERRORS as e:
-            if fail:
+                    lines = _line_batches(stream, path, None, None)
+                    yield from _guarded(lines, path, None, None, fail_file)
+        except _ERRORS as e:
+            strict = fail if _is(path, ARCHIVE_GLOBS) else fail_file
+            if strict or not (is_damage(e) or _is_closed(e)):
                 raise
-            yield _error(path, None, e)
+            yield _error(path, None, None, e)
 
     return read
 
 
 _PIECE_SCHEMA = (
-    "file string, member string, start bigint, stop bigint, lo bigint, hi bigint, "
+    "file string, member string, at string, start bigint, stop bigint, lo bigint, hi bigint, "
     "nested boolean, read_error string"
 )
 
@@ -189,7 +216,7 @@ _PIECE_SCHEMA = (
 def _index_tar(name_ok: Callable[[str], bool], fail: bool, piece_bytes: int):
     """Task body: list the members of seekable tars as byte ranges, without reading them."""
     def rows(path: str) -> Iterator[dict]:
-        base = {"file": path, "member": None, "start": None, "stop": None, "lo": None, "hi": None,
+        base = {"file": path, "member": None, "at": None, "start": None, "stop": None, "lo": None, "hi": None,
                 "nested": None, "read_error": None}
         try:
             with (
@@ -207,15 +234,15 @@ def _index_tar(name_ok: Callable[[str], bool], fail: bool, piece_bytes: int):
                     whole = nested or _is(info.name, GZIP_GLOBS)
                     step = info.size if whole else piece_bytes
                     for lo in range(start, stop, step):
-                        yield base | {"member": info.name, "start": start, "stop": stop, "lo": lo,
+                        yield base | {"member": info.name, "at": str(info.offset), "start": start, "stop": stop, "lo": lo,
                                       "hi": min(lo + step, stop), "nested": nested}
-        except READ_ERRORS as e:
-            if fail:
+        except _ERRORS as e:
+            if fail or not (is_damage(e) or _is_closed(e)):
                 raise
             yield base | {"read_error": f"{type(e).__name__}: {e}"}
 
     schema = pa.schema(
-        [("file", pa.string()), ("member", pa.string())]
+        [("file", pa.string()), ("member", pa.string()), ("at", pa.string())]
         + [(n, pa.int64()) for n in ("start", "stop", "lo", "hi")]
         + [("nested", pa.bool_()), ("read_error", pa.string())]
     )
@@ -223,7 +250,9 @@ def _index_tar(name_ok: Callable[[str], bool], fail: bool, piece_bytes: int):
     def index(batches: Batches) -> Batches:
         for batch in batches:
             for path in batch.column("path").to_pylist():
-                yield pa.RecordBatch.from_pylist(list(rows(path)), schema=schema)
+                found = rows(path)
+                while part := list(islice(found, 10_000)):
+                    yield pa.RecordBatch.from_pylist(part, schema=schema)
 
     return index
 
@@ -272,6 +301,7 @@ def _piece_batches(raw, row: dict) -> Batches:
             [
                 pa.array([row["file"]] * n, pa.string()),
                 pa.array([row["member"]] * n, pa.string()),
+                pa.array([row["at"]] * n, pa.string()),
                 pa.array([p - row["start"] for p, _ in lines], pa.int64()),
                 pa.array([v for _, v in lines], pa.binary()),
                 pa.nulls(n, pa.string()),
@@ -306,7 +336,7 @@ def _piece_batches(raw, row: dict) -> Batches:
         buffer = b"".join(parts)
 
 
-def _read_pieces(name_ok: Callable[[str], bool], fail: bool):
+def _read_pieces(name_ok: Callable[[str], bool], fail: bool, fail_file: bool):
     """Task body: byte ranges of tar members."""
     def read(batches: Batches) -> Batches:
         for batch in batches:
@@ -316,24 +346,25 @@ def _read_pieces(name_ok: Callable[[str], bool], fail: bool):
     def one_piece(row: dict) -> Batches:
         file, member = row["file"], row["member"]
         if row["read_error"] is not None:
-            yield pa.RecordBatch.from_pylist(
-                [{"file": file, "member": None, "position": None, "value": None,
-                  "read_error": row["read_error"]}], schema=_ARROW)
+            error = {"file": file, "read_error": row["read_error"]}
+            yield pa.RecordBatch.from_pylist([error], schema=_ARROW)
             return
         try:
             with open_file(file) as raw:
                 if row["nested"]:
                     inner = _decompressed(_Range(raw, row["start"], row["stop"]), member)
-                    yield from _tar_batches(inner, file, f"{member}!", name_ok)
-                elif _is(member, GZIP_GLOBS):
+                    around = f"{row['at']}!"
+                    yield from _tar_batches(inner, file, f"{member}!", around, name_ok, fail_file)
+                elif member is not None and _is(member, GZIP_GLOBS):
                     body = _decompressed(_Range(raw, row["start"], row["stop"]), member)
-                    yield from _guarded(_line_batches(body, file, member), file, member)
+                    lines = _line_batches(body, file, member, row["at"])
+                    yield from _guarded(lines, file, member, row["at"], fail_file)
                 else:
                     yield from _piece_batches(raw, row)
-        except READ_ERRORS as e:
-            if fail:
+        except _ERRORS as e:
+            if fail or not is_damage(e):
                 raise
-            yield _error(file, None, e)
+            yield _error(file, None, None, e)
 
     return read
 
@@ -357,6 +388,90 @@ def _listing(spark: SparkSession, roots: list[str], globs: Iterable[str]) -> Dat
     )
 
 
+def _underscored(roots: list[str]) -> list[tuple[str, int]]:
+    """Files that Spark's listing passes over for a name starting with ``_``, with their size.
+
+    Names starting with a dot stay out, as everywhere. Roots with wildcards are not looked
+    through.
+    """
+    found = []
+    for root in roots:
+        if any(c in root for c in "*?[{"):
+            continue
+        system, inner = locate(root)
+        scheme = "file:" if isinstance(system, fs.LocalFileSystem) else root.partition("://")[0] + "://"
+        listing = fs.FileSelector(inner, recursive=True, allow_not_found=True)
+        if system.get_file_info(inner).type != fs.FileType.Directory:
+            continue
+        for info in system.get_file_info(listing):
+            below = info.path[len(inner.rstrip("/")) + 1 :].split("/")
+            hidden = any(p.startswith("_") and "=" not in p for p in below)
+            if info.is_file and hidden and not any(p.startswith(".") for p in below):
+                found.append((scheme + info.path, info.size))
+    return found
+
+
+def read_underscored(
+    spark: SparkSession,
+    paths: str | Iterable[str],
+    *,
+    selection: FileSelection | None = None,
+    on_archive_error: str = "fail",
+    on_file_error: str = "drop",
+    piece_bytes: int = PIECE_BYTES,
+) -> DataFrame | None:
+    """Lines of the files whose path has a name starting with ``_``; None without such files.
+
+    Spark's own sources never list them. Plain files are read in pieces by all tasks,
+    compressed ones and archives from the front.
+    """
+    ship_package(spark)
+    chosen = selection or FileSelection(all_files=True)
+    name_ok, fail, fail_file = _name_test(chosen), on_archive_error == "fail", on_file_error == "fail"
+    cores = spark.sparkContext.defaultParallelism
+    packed = "|".join(g[1:].replace(".", "[.]") for g in (*ARCHIVE_GLOBS, *STREAM_GLOBS, *GZIP_GLOBS))
+
+    def read(files: list[tuple[str, int]], roots: list[str]) -> DataFrame:
+        listed = spark.createDataFrame(files, "path string, size bigint")
+        name = F.element_at(F.split("path", "/"), -1)
+        archive = glob_matches_any(name, ARCHIVE_GLOBS)
+        listed = listed.where(archive | chosen.name_filter(name))
+        listed = listed.where(chosen.directory_filter(F.col("path"), roots))
+        streamed = name.rlike(f"(?:{packed})\\z")
+        whole = listed.where(streamed).select("path").repartition(cores)
+        lo = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("size") - 1, F.lit(piece_bytes).cast("bigint")))
+        cut = listed.where(~streamed & (F.col("size") > 0)).select("path", "size", lo.alias("lo"))
+        pieces = cut.select(
+            F.col("path").alias("file"),
+            F.lit(None).cast("string").alias("member"),
+            F.lit(None).cast("string").alias("at"),
+            F.lit(0).cast("bigint").alias("start"),
+            F.col("size").alias("stop"),
+            "lo",
+            F.least("size", F.col("lo") + piece_bytes).alias("hi"),
+            F.lit(False).alias("nested"),
+            F.lit(None).cast("string").alias("read_error"),
+        ).repartition(tar_tasks(sum(size for _, size in files), cores, piece_bytes))
+        return whole.mapInArrow(_read_stream_files(name_ok, fail, fail_file), LINE_SCHEMA).unionByName(
+            pieces.mapInArrow(_read_pieces(name_ok, fail, fail_file), LINE_SCHEMA)
+        )
+
+    groups = [(_underscored(group), group) for group in disjoint_groups(_as_list(paths))]
+    tables = [
+        read(files, roots).withColumn("stream", F.concat(F.lit(f"{n}:"), F.coalesce("stream", F.lit(""))))
+        for n, (files, roots) in enumerate(groups)
+        if files
+    ]
+    if not tables:
+        return None
+    return reduce(DataFrame.unionByName, tables).withColumn("value", F.col("value").cast("string"))
+
+
+def tar_tasks(size: int, cores: int, piece_bytes: int = PIECE_BYTES) -> int:
+    """Tasks for so many bytes of tar: one for each two pieces, or one for each core."""
+    return max(cores, size // (2 * piece_bytes))
+
+
 def read_streamed(
     spark: SparkSession,
     paths: str | Iterable[str],
@@ -365,23 +480,29 @@ def read_streamed(
     archives: bool = True,
     gzip_files: bool = False,
     on_archive_error: str = "fail",
+    on_file_error: str = "drop",
     piece_bytes: int = PIECE_BYTES,
     deal_out_bytes: int = DEAL_OUT_BYTES,
 ) -> DataFrame:
     """Lines of archives, xz and odd-suffix bzip2 files below the given paths.
 
-    Gives ``file, member, position, value, read_error``. A file or member that breaks
+    Gives ``file, member, stream, position, value, read_error``. A file or member that breaks
     off leaves one row with ``read_error`` set and no value; the lines before the fault
     are in the table too, and :func:`complete_files` or the file gate removes them.
     A broken archive fails the query, or with ``on_archive_error="drop"`` is treated
-    the same way. ``gzip_files`` reads plain gzip files here as well, for the same
+    the same way. Other broken files fail the query with ``on_file_error="fail"``. Only
+    damage counts; a fault of the connection or store fails the task, and Spark tries it
+    again. ``gzip_files`` reads plain gzip files here as well, for the same
     handling of faults. If the largest file that cannot be split has ``deal_out_bytes``
     or more, or there are fewer tasks than cores, the lines are dealt out evenly before
     they go on.
     """
     if on_archive_error not in ("fail", "drop"):
         raise ValueError(f"on_archive_error must be 'fail' or 'drop', not {on_archive_error!r}")
+    if on_file_error not in ("fail", "drop"):
+        raise ValueError(f"on_file_error must be 'fail' or 'drop', not {on_file_error!r}")
     ship_package(spark)
+    fail_file = on_file_error == "fail"
     chosen = selection or FileSelection(all_files=True)
     name_ok, fail = _name_test(chosen), on_archive_error == "fail"
     cores = spark.sparkContext.defaultParallelism
@@ -396,17 +517,22 @@ def read_streamed(
         files = _listing(spark, roots, globs)
         files = files.where(archive_name | wanted if archives else wanted)
         files = files.where(chosen.directory_filter(F.col("path"), roots))
-        lines = files.select("path").mapInArrow(_read_stream_files(name_ok, fail), LINE_SCHEMA)
-        size = files.agg(F.max("length").alias("largest"), F.sum("length").alias("all")).first()
+        lines = files.select("path").mapInArrow(_read_stream_files(name_ok, fail, fail_file), LINE_SCHEMA)
+        size = files.agg(
+            F.max("length").alias("largest"), F.sum("length").alias("all"), F.count("*").alias("n")
+        ).first()
         if (size["largest"] or 0) >= deal_out_bytes:
             return lines.repartition(max(cores, size["all"] // PIECE_BYTES))
-        return spread(lines) if (size["all"] or 0) > CHUNK else lines
+        return spread(lines, size["n"]) if (size["all"] or 0) > CHUNK else lines
 
     def tar_pieces(roots: list[str]) -> DataFrame:
         tars = _listing(spark, roots, ["*.tar"])
-        tars = tars.where(chosen.directory_filter(F.col("path"), roots)).select("path")
-        pieces = tars.mapInArrow(_index_tar(name_ok, fail, piece_bytes), _PIECE_SCHEMA)
-        return pieces.repartition(cores).mapInArrow(_read_pieces(name_ok, fail), LINE_SCHEMA)
+        tars = tars.where(chosen.directory_filter(F.col("path"), roots))
+        size = tars.agg(F.sum("length")).first()[0] or 0
+        pieces = tars.select("path").mapInArrow(_index_tar(name_ok, fail, piece_bytes), _PIECE_SCHEMA)
+        # Tasks by bytes; pieces are of one size but for nested and compressed members.
+        dealt = pieces.repartition(tar_tasks(size, cores, piece_bytes))
+        return dealt.mapInArrow(_read_pieces(name_ok, fail, fail_file), LINE_SCHEMA)
 
     def read(roots: list[str]) -> DataFrame:
         lines = whole_files(roots)
@@ -421,25 +547,29 @@ def read_faults(lines: DataFrame) -> DataFrame:
     return lines.where(F.col("read_error").isNotNull()).select("file", "member", "read_error")
 
 
-def complete_files(lines: DataFrame, broadcast_rows: int = 10_000) -> DataFrame:
+def complete_files(lines: DataFrame, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """Lines of files and members read to their end.
 
-    A fault without member concerns the whole archive. The faults are counted first:
-    up to ``broadcast_rows`` of them are broadcast, more go through a salted join.
+    A fault without member concerns the whole archive. The lines are written to the
+    shared folder first, so that files are decompressed once, for faults and lines
+    together. Few bytes of faults are broadcast, more go through a salted join.
     """
-    faults = cut_lineage(read_faults(lines).select("file", "member").distinct())
+    spark = lines.sparkSession
+    path = scratch_path(spark, "lines")
+    lines.write.option("compression", "zstd").parquet(path)
+    lines = spark.read.schema(lines.schema).parquet(path)
+    keys = ["file", "member", *(["stream"] if "stream" in lines.columns else [])]
+    faults = cut_lineage(lines.where(F.col("read_error").isNotNull()).select(*keys).distinct())
     good = lines.where(F.col("read_error").isNull()).drop("read_error")
-    n = faults.count()
-    if n == 0:
+    size = key_bytes(faults, keys)
+    if size is None:
         return good
-    whole = faults.where(F.col("member").isNull()).select("file")
+    whole = faults.where(F.col("member").isNull()).select("file").distinct()
     part = faults.where(F.col("member").isNotNull())
-    if n <= broadcast_rows:
-        return anti_join(
-            anti_join(good, F.broadcast(whole), ["file"]), F.broadcast(part), ["file", "member"]
-        )
-    sizes = cut_lineage(good.groupBy("file", "member").agg(F.count("*").alias("lines")))
+    if size <= broadcast_bytes:
+        return anti_join(anti_join(good, F.broadcast(whole), ["file"]), F.broadcast(part), keys)
+    sizes = cut_lineage(good.groupBy(*keys).agg(F.count("*").alias("lines")))
     by_file = sizes.groupBy("file").agg(F.sum("lines").alias("lines"))
     salt_on = ("position", "value")
     kept = salted_anti_join(good, whole, by_file, ["file"], salt_on=salt_on)
-    return salted_anti_join(kept, part, sizes, ["file", "member"], salt_on=salt_on)
+    return salted_anti_join(kept, part, sizes, keys, salt_on=salt_on)

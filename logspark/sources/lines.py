@@ -95,7 +95,21 @@ def disjoint_groups(roots: Iterable[str]) -> list[list[str]]:
 
 
 def union_of_groups(read: Callable[[list[str]], DataFrame], roots: Iterable[str]) -> DataFrame:
-    return reduce(DataFrame.unionByName, [read(group) for group in disjoint_groups(roots)])
+    """One table of all groups; ``stream`` begins with the number of the group.
+
+    A file reached through two roots is read twice, and each reading stands for itself.
+    """
+    tables = []
+    for number, group in enumerate(disjoint_groups(roots)):
+        table = read(group)
+        inner = F.coalesce("stream", F.lit("")) if "stream" in table.columns else F.lit("")
+        tables.append(table.withColumn("stream", F.concat(F.lit(f"{number}:"), inner)))
+    return reduce(DataFrame.unionByName, tables)
+
+
+def _decoded(column: str) -> Column:
+    """A name from the file metadata, which comes percent-encoded."""
+    return F.url_decode(F.replace(F.col(column), F.lit("+"), F.lit("%2B")))
 
 
 def _as_list(paths: str | Iterable[str]) -> list[str]:
@@ -112,7 +126,9 @@ def read_lines(
     strip: bool = False,
     keep_truncated: bool = False,
 ) -> DataFrame:
-    """Lines of files and directory trees as ``file, position, value``.
+    """Lines of files and directory trees as ``file, position, value, stream``.
+
+    ``stream`` tells the readings of a file that is reached through several roots apart.
 
     Lines end at ``\\n`` only, so a carriage return stays in the text. Directories are
     read recursively; names starting with ``.`` or ``_`` are passed over. Gzip and
@@ -129,7 +145,7 @@ def read_lines(
         .option("recursiveFileLookup", "true")
         .option("ignoreCorruptFiles", str(keep_truncated).lower())
     )
-    name, path = F.col("_metadata.file_name"), F.col("_metadata.file_path")
+    name, path = _decoded("_metadata.file_name"), _decoded("_metadata.file_path")
     skip = list(skip)
 
     def read(roots: list[str]) -> DataFrame:
@@ -169,5 +185,5 @@ def stream_lines(
         reader = reader.option("pathGlobFilter", glob)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
-    lines = reader.load(path).select(F.col("_metadata.file_path").alias("file"), "value")
+    lines = reader.load(path).select(_decoded("_metadata.file_path").alias("file"), "value")
     return lines if keep_empty else lines.where(F.length("value") > 0)

@@ -10,8 +10,17 @@ from pyspark.sql import functions as F
 from samples import block, line
 
 from logspark.operators.parse import usable_entries
-from logspark.plans.combine import combine_logs, quality_report, read_one_file, read_tree, staged
+from logspark.plans.combine import (
+    StagedTables,
+    combine_job,
+    combine_logs,
+    quality_report,
+    read_one_file,
+    read_tree,
+    staged,
+)
 from logspark.sources import archives
+from logspark.sources.files import locate
 from logspark.sources.lines import FileSelection, read_lines
 
 
@@ -165,7 +174,7 @@ def test_damaged_files(spark, tmp_path):
     assert sources(combine_logs(spark, str(tmp_path))) == good
     lines = read_tree(spark, str(tmp_path))
     assert sources(usable_entries(archives.complete_files(lines))) == good
-    assert sources(usable_entries(archives.complete_files(lines, broadcast_rows=0))) == good
+    assert sources(usable_entries(archives.complete_files(lines, broadcast_bytes=0))) == good
     faults = {(os.path.basename(r.file), r.member) for r in archives.read_faults(lines).collect()}
     assert faults == {("cut.log.1.gz", None), ("fake.log.1.gz", None), ("members.tar", "cut.log.1.gz")}
     kept = read_lines(spark, str(tmp_path), keep_truncated=True, selection=FileSelection())
@@ -212,8 +221,152 @@ def test_combine_orders_and_removes_copies(spark, tmp_path):
 
 
 def test_staged_lines(spark, tmp_path):
-    put(tmp_path / "a.log", block(3))
-    assert staged(read_tree(spark, str(tmp_path))).where("kind = 'lager'").count() == 3
+    put(tmp_path / "a.log", block(30) + b"junk\n")
+    tables = StagedTables()
+    lines = read_tree(spark, str(tmp_path))
+    rows = staged(lines, where=F.col("nanos") < 3, tables=tables)
+    assert rows.where("kind = 'lager'").count() == 30 and rows.count() == 31
+    assert rows.where("wanted").count() == rows.where("message is not null").count() == 3
+    folder = tables.paths[0].removeprefix("file:")
+    assert os.path.isdir(folder)
+    tables.release()
+    assert not os.path.exists(folder)
+
+
+MIXED = block(50, "mixed") + b"junk\n" * 60
+
+
+def test_readings_of_one_name_are_gated_apart(spark, tmp_path):
+    put(tmp_path / "e" / "app.log", MIXED)
+    root = str(tmp_path / "e")
+    assert combine_logs(spark, [root, root]).count() == 100
+    assert combine_logs(spark, [root, str(tmp_path)]).count() == 100
+    for name, mode in (("t.tar", "w"), ("t.tgz", "w:gz")):
+        put(tmp_path / name, tar(mode, [("app.log", MIXED), ("app.log", MIXED)]))
+        assert combine_logs(spark, str(tmp_path / name)).count() == 100
+    nested = tar("w", [("in.tar", tar("w", [("app.log", MIXED)])), ("in.tar", tar("w", [("app.log", MIXED)]))])
+    put(tmp_path / "n" / "n.tar", nested)
+    assert combine_logs(spark, str(tmp_path / "n")).count() == 100
+
+
+def test_paths_are_compared_as_they_are(spark, tmp_path):
+    base = tmp_path / "my logs" / "100%25 é+x"
+    put(base / "a b.log", block(5, "a"))
+    put(base / "sub dir" / "c+d.log", block(3, "c"))
+    put(base / "é%41.log.1.gz", gzip.compress(block(2, "e")))
+    def read(**how):
+        return sources(combine_logs(spark, str(base), selection=FileSelection(**how)))
+    assert read() == {"a": 5, "c": 3, "e": 2}
+    assert read(include=["a b.log"]) == {"a": 5}
+    assert read(include=["é%41*", "c+d.log"]) == {"c": 3, "e": 2}
+    assert read(exclude_dir=["sub dir"]) == {"a": 5, "e": 2}
+    assert read(exclude_dir=["my logs", "100*"]) == {"a": 5, "c": 3, "e": 2}
+    files = {r.file for r in combine_logs(spark, str(base)).select("file").distinct().collect()}
+    assert {f.removeprefix("file:").replace("//", "/") for f in files} == {
+        str(base / n) for n in ("a b.log", "sub dir/c+d.log", "é%41.log.1.gz")
+    }
+
+
+def test_underscore_names_are_read(spark, tmp_path):
+    put(tmp_path / "_x.log", block(50, "x"))
+    put(tmp_path / "y.log", block(1, "y"))
+    put(tmp_path / "_dir" / "z.log.1.gz", gzip.compress(block(2, "z")))
+    put(tmp_path / "_dir" / ".z.log", block(9, "hidden"))
+    put(tmp_path / ".dir" / "_z.log", block(9, "hidden"))
+    put(tmp_path / "_t.tar", tar("w", [("m.log", block(4, "m"))]))
+    assert sources(combine_logs(spark, str(tmp_path))) == {"x": 50, "y": 1, "z": 2, "m": 4}
+    selection = FileSelection(exclude=["_x*"], exclude_dir=["_dir"])
+    assert sources(combine_logs(spark, str(tmp_path), selection=selection)) == {"y": 1, "m": 4}
+    small = archives.read_underscored(spark, str(tmp_path), selection=FileSelection(include=["_x.log"]), piece_bytes=64)
+    assert sources(usable_entries(small)) == {"x": 50, "m": 4} or sources(usable_entries(small)) == {"x": 50}
+
+
+def test_single_file_options(spark, tmp_path):
+    colored = block(1).replace(b'"source":"', b'"source":"\x1b[1m')
+    put(tmp_path / "c.log", colored)
+    assert combine_logs(spark, str(tmp_path / "c.log")).count() == 0
+    assert combine_logs(spark, str(tmp_path / "c.log"), strip=True).count() == 1
+    body = b"".join(line(i, os.urandom(8).hex()).encode() + b"\n" for i in range(20_000))
+    packed = lzma.compress(body)
+    put(tmp_path / "broken.xz", packed[: len(packed) // 2])
+    with pytest.raises(Exception):
+        combine_logs(spark, str(tmp_path / "broken.xz")).collect()
+    assert combine_logs(spark, str(tmp_path / "broken.xz"), on_error="keep_prefix").count() > 0
+    put(tmp_path / "cut.gz", truncated_gzip(20_000))
+    with pytest.raises(Exception):
+        combine_logs(spark, str(tmp_path / "cut.gz")).collect()
+
+
+def test_only_damage_drops_a_file():
+    def failing(error):
+        yield from ()
+        raise error
+
+    for error in (gzip.BadGzipFile("x"), EOFError("x"), lzma.LZMAError("x"), OSError("Invalid data stream")):
+        (batch,) = archives._guarded(failing(error), "f", None, None, False)
+        assert batch.to_pylist()[0]["read_error"]
+        with pytest.raises(type(error)):
+            list(archives._guarded(failing(error), "f", None, None, True))
+    for error in (ConnectionError("lost"), OSError("throttled"), TimeoutError()):
+        with pytest.raises(OSError):
+            list(archives._guarded(failing(error), "f", None, None, False))
+
+
+def test_files_that_cannot_be_opened_are_reported():
+    read = archives._read_stream_files(lambda name: True, True, False)
+    import pyarrow as pa
+    batch = pa.RecordBatch.from_pydict({"path": ["file:/no/such/file.log.1.gz"]})
+    (found,) = read([batch])
+    assert found.to_pylist()[0]["read_error"].startswith("FileNotFoundError")
+
+
+def test_job_tells_what_it_left_out(spark, tmp_path):
+    put(tmp_path / "ok.log", block(3, "ok"))
+    put(tmp_path / "junk.log", b"junk\n" * 5)
+    put(tmp_path / "poor.log", block(3) + b"junk\n" * 100)
+    put(tmp_path / "cut.log.1.gz", b"not a gzip file")
+    put(tmp_path / "t.tgz", tar("w:gz", [("m.log", block(2)), ("m.log", b"junk\n")]))
+    job = combine_job(spark, str(tmp_path))
+    rows = [
+        (os.path.basename(r.file), r.member, r.usable_lines, r.bad_lines, r.read_error is not None, r.kept)
+        for r in job.files.collect()
+    ]
+    assert sorted(rows, key=str) == sorted(
+        [
+            ("ok.log", None, 3, 0, False, True),
+            ("junk.log", None, 0, 5, False, False),
+            ("poor.log", None, 3, 100, False, False),
+            ("cut.log.1.gz", None, 0, 0, True, False),
+            ("t.tgz", "m.log", 2, 0, False, True),
+            ("t.tgz", "m.log", 0, 1, False, False),
+        ],
+        key=str,
+    )
+    assert job.entries.count() == 5
+    job.release()
+
+
+def test_tasks_follow_the_bytes():
+    assert archives.tar_tasks(10, 8) == 8
+    assert archives.tar_tasks(100 << 40, 1000) == (100 << 40) // (2 * archives.PIECE_BYTES)
+
+
+def test_index_comes_in_batches(tmp_path):
+    import pyarrow as pa
+    put(tmp_path / "t.tar", tar("w", [(f"{i}.log", b"x\n") for i in range(10_050)]))
+    index = archives._index_tar(lambda name: True, True, 1 << 20)
+    batches = list(index([pa.RecordBatch.from_pydict({"path": [str(tmp_path / "t.tar")]})]))
+    assert [b.num_rows for b in batches] == [10_000, 50]
+
+
+def test_schemes(tmp_path):
+    system, inner = locate(f"file://{tmp_path}/a%20b")
+    assert inner == f"{tmp_path}/a%20b" and locate(str(tmp_path))[1] == str(tmp_path)
+    for path in ("dbfs:/x/y", "abfs://c@h/x"):
+        with pytest.raises(ValueError, match="scheme"):
+            locate(path)
+    system, inner = locate("s3a://bucket/a b", {"region": "eu-west-1"})
+    assert system.type_name == "s3" and inner == "bucket/a b" and system.region == "eu-west-1"
 
 
 def test_quality_report(spark, tmp_path):
