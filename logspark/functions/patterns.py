@@ -41,6 +41,8 @@ _PIECES = re.compile(
       (?P<posix>\[:(?P<neg>\^?)(?P<name>\w+):\])
     | (?P<named>\(\?P<(?!=))
     | (?P<flags>\(\?[a-z]*U[a-zA-Z-]*[:)])
+    | (?P<look>\(\?(?:<?[=!]|>))
+    | (?P<possessive>(?:[*+?]|\{[0-9,]+\})\+)
     | (?P<escape>\\(?s:.))
     | (?P<open>\[\^?\]?)
     | (?P<close>\])
@@ -56,7 +58,8 @@ def java_regex(pattern: str) -> str:
 
     Translated: POSIX classes, ``(?P<name>``, ``$`` (end of text only, unless the
     pattern turns on multi-line mode), and characters that are special only inside
-    Java brackets. Ungreedy mode and ``\\C`` have no Java form and are refused.
+    Java brackets. Ungreedy mode and ``\\C`` have no Java form and are refused, and so is
+    what RE2 does not have: look-around, atomic groups, possessive repeats, back-references.
     """
     multi_line = re.search(r"\(\?[a-z]*m", pattern) is not None
     inside = False
@@ -65,7 +68,7 @@ def java_regex(pattern: str) -> str:
         nonlocal inside
         text, kind = piece.group(), piece.lastgroup
         if kind == "escape":
-            if text == r"\C":
+            if text in (r"\C", r"\k") or (text[1].isdigit() and text[1] != "0"):
                 raise ValueError(f"pattern not supported: {pattern!r}")
             return text
         if piece.group("posix") and inside:

@@ -219,8 +219,10 @@ def test_patterns(spark):
     for pattern, value, expected in cases:
         df = spark.createDataFrame([(value,)], "t string")
         assert df.select(patterns.matches(F.col("t"), pattern)).first()[0] is expected, pattern
-    with pytest.raises(ValueError):
-        patterns.java_regex("(?U)a+")
+    for refused in ("(?U)a+", "(?=a)", "(?<!a)b", "(?>a)", "x*+", "x{2}+", r"(a)\1", r"(?P<n>a)\k<n>"):
+        with pytest.raises(ValueError):
+            patterns.java_regex(refused)
+    assert patterns.java_regex(r"[*+]+\*+(?:a)??") == r"(?d)[*+]+\*+(?:a)??"
     with pytest.raises(ValueError):
         patterns.java_regex("[[:nothing:]]")
     df = spark.createDataFrame([("abc",)], "t string")
