@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logspark.session import scratch_path, ship_package
+from logspark.sources.files import locate
 
-# Code points 0x20 and 0x09-0x0D part words; everything else belongs to one.
-NOT_SPACE = "[^\\x20\\x09-\\x0D]+"
+
+_written: list[str] = []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,19 +23,24 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     """Write a table to the shared folder and read it back.
 
     Cuts the lineage: a lost executor costs tasks of the reading job only, and what made
-    the table is not run again for each use.
+    the table is not run again for each use. Results read the table, so it stays until
+    :func:`release_staged`.
     """
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.parquet(path)
+    _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release_staged() -> None:
+    """Delete all staged tables of this process; results made from them end with them."""
+    while _written:
+        system, inner = locate(_written.pop())
+        if system.get_file_info(inner).type == fs.FileType.Directory:
+            system.delete_dir(inner)
+
+
 def packed(df: DataFrame, *keys: Column) -> DataFrame:
     """``keys`` beside the whole row as struct ``row``, so that no name can clash."""
     return df.select(*keys, F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"))
-
-
-def word_count(text: Column) -> Column:
-    """Number of words; 0 for NULL."""
-    return F.coalesce(F.regexp_count(text, F.lit(NOT_SPACE)), F.lit(0)).cast("long")
