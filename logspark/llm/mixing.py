@@ -22,7 +22,7 @@ MAX_EPOCHS = 2
 SEED = 42
 # Hash digits that cut a source into buckets; running sums go over buckets, then over
 # the documents of one bucket of each source.
-_BUCKET_DIGITS = 4
+_BUCKET_DIGITS = 3
 
 
 def cycled_weights(sources: DataFrame, weights: Sequence[int] = WEIGHTS) -> DataFrame:
