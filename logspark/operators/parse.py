@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,23 +28,43 @@ def parse_lines(
     # lines are parsed when the result is used.
     lines.sparkSession.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
     origin = [c for c in lines.columns if c != "value"]
-
     # Each select is one step, so that a costly value is computed once and then
     # referred to by name.
-    wire = lines.select(
-        *origin, "value", entry.wrapped_line(F.col("value"), case_insensitive_keys).alias("w")
-    )
-    texts = (_any_case_texts if case_insensitive_keys else _texts)(wire, origin)
+    table = lines
+    for keeps, columns in _steps(id(SparkContext._gateway), case_insensitive_keys, keep_nonstring):
+        table = table.select(*origin, *keeps, *columns)
+    return table.select(*origin, *ENTRY_COLUMNS)
+
+
+Step = tuple[tuple[str, ...], list[Column]]
+
+
+@lru_cache(maxsize=8)
+def _steps(gateway: int, case_insensitive_keys: bool, keep_nonstring: bool) -> list[Step]:
+    """For each step the columns that stay and the ones that are made.
+
+    They are the same for every table, and making some hundred expressions takes longer
+    than planning them. ``gateway`` is the connection they belong to.
+    """
+    wrapped = entry.wrapped_line(F.col("value"), case_insensitive_keys).alias("w")
+    texts = _any_case_texts() if case_insensitive_keys else _texts()
+    return [(("value",), [wrapped]), *texts, *_entry_steps(keep_nonstring)]
+
+
+_KEYS = (*entry.SCALAR_KEYS, *entry.STRING_KEYS)
+_TEXTS = ("whole", *[f"t_{key}" for key in (*_KEYS, "data")], *[f"no_{key}" for key in (*_KEYS, "data")])
+
+
+def _entry_steps(keep_nonstring: bool) -> list[Step]:
+    """From the texts of all fields to the entry columns."""
     text = F.col("t_timestamp")
     epoch = timestamps.epoch_seconds(text)
-    typed = texts.withColumns(
-        {
-            "epoch": epoch,
-            "instant": F.when(epoch.isNull(), timestamps.rfc3339_instant(text)),
-            "v1": levels.decode_level(F.col("t_log_level")),
-            "v2": levels.decode_level(F.col("t_level")),
-        }
-    )
+    typed = [
+        epoch.alias("epoch"),
+        F.when(epoch.isNull(), timestamps.rfc3339_instant(text)).alias("instant"),
+        levels.decode_level(F.col("t_log_level")).alias("v1"),
+        levels.decode_level(F.col("t_level")).alias("v2"),
+    ]
     value_read = {
         "timestamp": F.col("epoch").isNotNull() | F.col("instant").isNotNull(),
         "log_level": F.col("v1").isNotNull(),
@@ -64,16 +87,14 @@ def parse_lines(
     )
     # A generator of one row. Filters on its columns stay above it; without it they
     # would be pushed further down, where they would parse every line a second time.
-    steps = {
+    values = {
         "kind": kind,
         "sec": sec,
         "ns": nanos,
         "lvl": levels.merge_levels(F.col("v1"), F.col("v2")),
         **{f"t_{key}": F.col(f"t_{key}") for key in (*entry.STRING_KEYS, "data")},
     }
-    tagged = typed.select(
-        *origin, "value", F.inline(F.array(F.struct(*[c.alias(n) for n, c in steps.items()])))
-    )
+    tagged = F.inline(F.array(F.struct(*[c.alias(n) for n, c in values.items()])))
 
     def parsed(value: Column) -> Column:
         return F.when(F.col("kind") != "raw", value)
@@ -82,14 +103,11 @@ def parse_lines(
         return F.when(F.col("kind") == "lager", value)
 
     members = F.col("t_data")
-    opened = tagged.withColumns(
-        {
-            **{f"d_{key}": entry.string_value(members[key]) for key in entry.LIFTED_KEYS},
-            "rest": entry.residual_members(members, keep_nonstring),
-        }
-    )
-    return opened.select(
-        *origin,
+    opened = [
+        *[entry.string_value(members[key]).alias(f"d_{key}") for key in entry.LIFTED_KEYS],
+        entry.residual_members(members, keep_nonstring).alias("rest"),
+    ]
+    made = [
         timed(F.col("sec")).alias("epoch_sec"),
         timed(F.col("ns")).alias("nanos"),
         timed(timestamps.to_timestamp(F.col("sec"), F.col("ns"))).alias("timestamp"),
@@ -104,30 +122,28 @@ def parse_lines(
             for key in ("session", "error", "trace")
         ],
         parsed(entry.compact_json(F.col("rest"))).alias("data"),
-        "kind",
         F.when(F.col("kind") == "raw", F.col("value")).alias("raw"),
-    ).select(*origin, *ENTRY_COLUMNS)
+    ]
+    return [
+        (("value", *_TEXTS), typed),
+        (("value",), [tagged]),
+        (("value", *values), opened),
+        (("kind",), made),
+    ]
 
 
-def _texts(wire: DataFrame, origin: list[str]) -> DataFrame:
+def _texts() -> list[Step]:
     """Text of every field, checked against a second parse where its type is unsure."""
     w = entry.wire_fields(F.col("w"))
-    raw = wire.select(
-        *origin,
-        "value",
+    raw = [
         entry.whole_line(F.col("w")).alias("whole"),
         *[w[key].alias(f"w_{key}") for key in entry.WIRE_KEYS],
-    )
+    ]
     doubt: Column = F.lit(False)
     for key in entry.UNSURE_KEYS:
         doubt = doubt | F.coalesce(entry.unsure(key, F.col(f"w_{key}")), F.lit(False))
-    settled = raw.withColumn(
-        "exact",
-        F.when(
-            doubt,
-            F.struct(*[v.alias(k) for k, v in entry.exact_fields(F.col("value")).items()]),
-        ),
-    )
+    exact_fields = F.struct(*[v.alias(k) for k, v in entry.exact_fields(F.col("value")).items()])
+    settled = F.when(doubt, exact_fields).alias("exact")
 
     def text(key: str) -> Column:
         plain = F.col(f"w_{key}")
@@ -136,30 +152,26 @@ def _texts(wire: DataFrame, origin: list[str]) -> DataFrame:
         exact = F.col("exact")
         return F.when(exact.isNull(), plain).otherwise(entry.strict_text(key, exact[key]))
 
-    keys = (*entry.SCALAR_KEYS, *entry.STRING_KEYS)
-    return settled.select(
-        *origin,
-        "value",
-        "whole",
-        *[text(key).alias(f"t_{key}") for key in keys],
+    texts = [
+        *[text(key).alias(f"t_{key}") for key in _KEYS],
         entry.object_members(F.col("w_data")).alias("t_data"),
-        *[F.col(f"w_{key}").isNull().alias(f"no_{key}") for key in keys],
+        *[F.col(f"w_{key}").isNull().alias(f"no_{key}") for key in _KEYS],
         entry.is_absent(F.col("w_data")).alias("no_data"),
-    )
+    ]
+    fields = tuple(f"w_{key}" for key in entry.WIRE_KEYS)
+    return [(("value",), raw), (("value", "whole", *fields), [settled]), (("value", "whole"), texts)]
 
 
-def _any_case_texts(wire: DataFrame, origin: list[str]) -> DataFrame:
+def _any_case_texts() -> list[Step]:
     """The same columns from fields that are VARIANT to begin with."""
     w = entry.any_case_fields(F.col("w"))
-    keys = (*entry.SCALAR_KEYS, *entry.STRING_KEYS)
-    return wire.select(
-        *origin,
-        "value",
+    texts = [
         entry.whole_line(F.col("w")).alias("whole"),
-        *[entry.strict_text(key, w[key]).alias(f"t_{key}") for key in keys],
+        *[entry.strict_text(key, w[key]).alias(f"t_{key}") for key in _KEYS],
         entry.object_members(w["data"]).alias("t_data"),
         *[entry.is_absent(w[key]).alias(f"no_{key}") for key in entry.WIRE_KEYS],
-    )
+    ]
+    return [(("value",), texts)]
 
 
 def usable_entries(lines: DataFrame, **options) -> DataFrame:
