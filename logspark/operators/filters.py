@@ -6,6 +6,7 @@ the same on batch and streaming DataFrames.
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Iterable, Mapping
 from functools import reduce
 
@@ -29,16 +30,19 @@ def time_range(
     start: TimeBound | None = None,
     end: TimeBound | None = None,
     closed: str = "both",
+    now: dt.datetime | None = None,
 ) -> Column:
     """Entries between two instants, compared to the nanosecond.
 
+    Durations and dates without a year refer to ``now``.
+
     ``closed="neither"`` leaves both ends out. A missing end is open; an entry
     without time never matches.
     """
     if closed not in ("both", "neither"):
         raise ValueError(f"closed must be 'both' or 'neither', not {closed!r}")
-    low = None if start is None else bound_instant(start)
-    high = None if end is None else bound_instant(end)
+    low = None if start is None else bound_instant(start, now)
+    high = None if end is None else bound_instant(end, now)
     if low and high and low > high:
         raise ValueError(f"time range starts at {start!r}, after its end {end!r}")
     sec, nanos = F.col("epoch_sec"), F.col("nanos")

@@ -213,6 +213,19 @@ ORACLES: dict[str, str] = {
         f"""SELECT node AS file, {FIELD_LIST}, level_name, kind, raw,
         epoch_sec * 1000000 + nanos // 1000 AS unix_us FROM parsed"""
     ),
+    # The fields follow from the form; nothing is parsed.
+    "line_forms": f"""WITH {PARTS}, forms AS (SELECT event_id, sec, event_id % 12 AS form FROM parts)
+        SELECT event_id, CASE WHEN form IN (0, 1, 2, 3, 6) THEN 'raw' ELSE 'lager' END AS kind,
+          CASE WHEN form NOT IN (0, 1, 2, 3, 6) THEN sec END AS epoch_sec,
+          CASE WHEN form = 5 THEN 500000000 WHEN form NOT IN (0, 1, 2, 3, 6) THEN 250000000 END AS nanos,
+          CASE WHEN form NOT IN (0, 1, 2, 3, 6) THEN 0 END AS log_level,
+          CASE WHEN form NOT IN (0, 1, 2, 3, 6) THEN 's' END AS source,
+          CASE form WHEN 4 THEN '' WHEN 5 THEN 'bare' WHEN 7 THEN 'last'
+            WHEN 8 THEN 'tab' || chr(9) || ' quote" é' WHEN 9 THEN 'zürich 日本'
+            WHEN 10 THEN 'carriage return' WHEN 11 THEN '' END AS message,
+          NULL::VARCHAR AS session, NULL::VARCHAR AS error, NULL::VARCHAR AS trace,
+          CASE form WHEN 4 THEN '{{"n":1}}' WHEN 9 THEN '{{"ключ":"значение"}}' END AS data
+        FROM forms""",
     "parse_kinds": over_parsed(
         "SELECT node AS file, kind, count(*) AS lines FROM parsed GROUP BY ALL"
     ),
@@ -307,6 +320,10 @@ ORACLES: dict[str, str] = {
     "time_after_epoch": where_entries(
         "epoch_sec > 1705000000 OR (epoch_sec = 1705000000 AND nanos >= 500000000)"
     ),
+    "time_bound_texts": where_entries(
+        "(epoch_sec > 1704866400 OR (epoch_sec = 1704866400 AND nanos >= 500000000))"
+        " AND (epoch_sec < 1705104000 OR (epoch_sec = 1705104000 AND nanos <= 0))"
+    ),
     "min_level": where_entries("log_level >= 2"),
     "level_set": where_entries("log_level IN (1, 3)"),
     "line_min_level": over_lines(

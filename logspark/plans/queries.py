@@ -6,6 +6,7 @@ booleans only, so they compare exactly with the SQL in :mod:`logspark.plans.orac
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Callable
 from decimal import Decimal
 
@@ -76,6 +77,36 @@ def parse_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parsed.withColumn("unix_us", F.unix_micros("timestamp")).drop("timestamp")
 
 
+# Forms of a line that the sample lines do not have, by event number; `~` stands for the
+# time and source that all but one begin with.
+LINE_FORMS = (
+    '{~,"log_level":9}',
+    '{~,"level":"loud"}',
+    '{~,"data":[1,2]}',
+    '{~,"session":5}',
+    '{~,"data":{"session":7,"n":1}}',
+    '{"timestamp":SEC.5,"source":"s","message":"bare"}',
+    '{"timestamp":"SEC.1234567890","source":"s"}',
+    '{~,"message":"first","message":"last"}',
+    '{~,"message":"tab\\t quote\\" \\u00e9"}',
+    '{~,"message":"zürich 日本","data":{"ключ":"значение"}}',
+    '{~,"message":"carriage return"}\r',
+    '{~,"message":null,"data":null}',
+)
+
+
+@query
+def line_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Wrong levels, odd data, bare times, repeated keys, escapes and other scripts."""
+    form = F.element_at(F.array(*map(F.lit, LINE_FORMS)), (F.col("event_id") % len(LINE_FORMS)).cast("int") + 1)
+    second = F.col("sec").cast("string")
+    stamp = F.concat(F.lit('"timestamp":"'), second, F.lit('.25","source":"s"'))
+    lines = event_parts(events(spark, sf_dir)).select(
+        "event_id", F.replace(F.replace(form, F.lit("~"), stamp), F.lit("SEC"), second).alias("value")
+    )
+    return parse_lines(lines).select("event_id", "kind", *FIELDS)
+
+
 @query
 def parse_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
     parsed = parse_lines(sample_lines(spark, sf_dir))
@@ -329,6 +360,14 @@ def time_after_epoch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _filtered(spark, sf_dir, filters.time_range(start=Decimal("1705000000.5")))
 
 
+@query
+def time_bound_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A date without a year to a duration before a fixed moment."""
+    now = dt.datetime(2024, 6, 1, tzinfo=dt.timezone.utc)
+    bounds = filters.time_range("01/10 06:00:00.50", dt.timedelta(days=-140), now=now)
+    return _filtered(spark, sf_dir, bounds)
+
+
 @query
 def min_level(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _filtered(spark, sf_dir, filters.min_level("error"))
