@@ -26,7 +26,8 @@ K = 20
 # Vectors the tree is learned from, at most about this many.
 SAMPLE = 20_000
 BRANCHES = 16
-LEAF_SAMPLE = 48
+# Small leaves need more visits, each of which is a row that meets a leaf in a shuffle.
+LEAF_SAMPLE = 256
 CALIBRATION_QUERIES = 200
 TARGET_RECALL = 0.96
 # Rows and queries that are compared in one task at once.
@@ -69,13 +70,14 @@ class Tree:
                 result[mine] = self.assign(points[mine], child)
         return result
 
-    def visit(self, query: np.ndarray, most: int) -> list[int]:
-        """Leaves in the order of the traversal."""
-        queue, order = [(0.0, 0)], []
-        while queue and len(order) < most:
+    def visit(self, query: np.ndarray, visits: int, rows: np.ndarray, least: int) -> list[int]:
+        """Leaves in the order of the traversal: ``visits``, and more until they hold ``least`` rows."""
+        queue, order, held = [(0.0, 0)], [], 0
+        while queue and (len(order) < visits or held < least):
             _, node = heapq.heappop(queue)
             if self.leaf[node] >= 0:
                 order.append(self.leaf[node])
+                held += rows[self.leaf[node]]
             else:
                 near = self.centres[node] @ query
                 for child, score in zip(self.children[node], near.tolist()):
@@ -145,7 +147,8 @@ def _calibrate(index: DataFrame, queries: DataFrame, tree: Tree, k: int, target:
     best = index.select("id", "vector", "leaf").mapInPandas(exact, "qid long, id long, leaf long, score double")
     order = Window.partitionBy("qid").orderBy(F.desc("score"), "id")
     truth = best.withColumn("r", F.row_number().over(order)).where(F.col("r") <= k).toPandas()
-    rank = {q: {leaf: i for i, leaf in enumerate(tree.visit(p, tree.leaves))} for q, p in zip(own, points)}
+    none = np.zeros(tree.leaves)
+    rank = {q: {leaf: i for i, leaf in enumerate(tree.visit(p, tree.leaves, none, 0))} for q, p in zip(own, points)}
     needed = np.sort([rank[q][leaf] + 1 for q, leaf in zip(truth.qid, truth.leaf)])
     return int(needed[min(len(needed) - 1, math.ceil(target * len(needed)))]) if len(needed) else tree.leaves
 
@@ -198,15 +201,18 @@ def nearest_neighbours(
     # Queries with one vector are searched once.
     asked = staged(own.where("asks").groupBy("vector").agg(F.min("id").alias("qid")), "queries")
     visits = _calibrate(index, asked, tree, k, target_recall)
+    # Rows of a query's own id are found before they are taken out.
+    more = own.where("asks").select("id").distinct().join(index, "id").groupBy("id").count().agg(F.max("count")).first()[0] or 0
+    sizes = np.zeros(tree.leaves, np.int64)
+    for leaf, n in index.groupBy("leaf").count().collect():  # one row for each leaf
+        sizes[leaf] = n
 
     @F.pandas_udf("array<long>")
     def leaves_of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
-            yield pd.Series([sent.value.visit(np.asarray(q, np.float64), visits) for q in batch])
+            yield pd.Series([sent.value.visit(np.asarray(q, np.float64), visits, sizes, k + more) for q in batch])
 
     reached = staged(asked.select("qid", "vector", F.explode(leaves_of("vector")).alias("leaf")), "visits")
-    # Rows of a query's own id are found before they are taken out.
-    more = own.where("asks").select("id").distinct().join(index, "id").groupBy("id").count().agg(F.max("count")).first()[0] or 0
     # Large leaves and leaves with many queries are cut; there is one row for each leaf.
     parts = F.broadcast(
         index.groupBy("leaf").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("row_parts"))
