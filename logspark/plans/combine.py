@@ -13,7 +13,7 @@ from logspark.functions.text import strip_color
 from logspark.operators import combine, quality
 from logspark.operators.parse import parse_lines
 from logspark.schema import ENTRY_COLUMNS
-from logspark.session import scratch_path, spread
+from logspark.session import delete_path, scratch_path, spread
 from logspark.sources import archives
 from logspark.sources.files import locate
 from logspark.sources.lines import (
@@ -37,9 +37,10 @@ class StagedTables:
     """Tables written to the shared folder for one job; remove them when it is done."""
 
     paths: list[str] = field(default_factory=list)
+    spark: SparkSession | None = None
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
-        spark = df.sparkSession
+        spark = self.spark = df.sparkSession
         path = scratch_path(spark, name)
         self.paths.append(path)
         df.write.option("compression", "zstd").parquet(path)
@@ -48,9 +49,7 @@ class StagedTables:
     def release(self) -> None:
         """Delete the tables; what was made from them cannot be used any more."""
         while self.paths:
-            system, inner = locate(self.paths.pop())
-            if system.get_file_info(inner).type == fs.FileType.Directory:
-                system.delete_dir(inner)
+            delete_path(self.spark, self.paths.pop())
 
 
 @dataclass
