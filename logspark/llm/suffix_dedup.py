@@ -19,7 +19,7 @@ ends of repeated passages. No pair of positions is ever made.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pandas as pd
@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from logspark.llm.tables import staged
+from logspark.llm.tables import Steps, staged
 from logspark.session import ship_package
 
 LENGTH = 400
@@ -78,7 +78,7 @@ def _holders(part: np.ndarray) -> np.ndarray:
     return (least & np.uint64(0xFFFFFFFF)).astype(np.int64)
 
 
-def runs_of_strings(text: bytes) -> Iterator[tuple[int, int, int, bytes, bytes]]:
+def runs_of_strings(text: bytes) -> Iterator[tuple[int, int, int, int, bytes]]:
     """First and last start, window, and keys of the window and the whole extent of each run."""
     view, whole = memoryview(text), np.frombuffer(text, np.uint8)
     for begin in range(0, len(text) - LENGTH + 1, _SEGMENT):
@@ -87,7 +87,7 @@ def runs_of_strings(text: bytes) -> Iterator[tuple[int, int, int, bytes, bytes]]
         last = np.append(first[1:], len(held)) - 1
         for p, q, a in zip((first + begin).tolist(), (last + begin).tolist(), held[first].tolist()):
             extent = xxhash.xxh3_128_digest(view[p : q + LENGTH], (a - p) << 32 | (a - q))
-            yield p, q, a, xxhash.xxh3_128_digest(view[a : a + CORE]), extent
+            yield p, q, a, xxhash.xxh3_64_intdigest(view[a : a + CORE]) - (1 << 63), extent
 
 
 _RUN = pa.schema(
@@ -96,7 +96,7 @@ _RUN = pa.schema(
         ("p", pa.int64()),
         ("q", pa.int64()),
         ("a", pa.int64()),
-        ("core", pa.binary()),
+        ("core", pa.int64()),
         ("extent", pa.binary()),
     ]
 )
@@ -120,7 +120,7 @@ def _runs(texts: DataFrame) -> DataFrame:
 
     long_enough = texts.where(F.octet_length("text") >= LENGTH)
     return long_enough.select("doc", F.col("text").cast("binary").alias("text")).mapInArrow(
-        cut, "doc binary, p long, q long, a long, core binary, extent binary"
+        cut, "doc binary, p long, q long, a long, core long, extent binary"
     )
 
 
@@ -129,25 +129,33 @@ def _batch(owners: list, found: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(columns, _RUN)], schema=_RUN)
 
 
-def _reranked(rows: DataFrame, core: list[str], extent: list[str]) -> DataFrame:
-    """``rows`` with ``n``, ``c``, ``open``, ``chosen`` and the new ``rank``.
+def _reranked(rows: DataFrame, core: list[str], extent: list[str], steps: Steps, name: str) -> DataFrame:
+    """``rows`` that are settled or go on, with ``n``, ``goes_on``, ``chosen`` and ``rank``.
 
     Rows equal in ``core`` get one rank, named after the least of them. ``n`` counts rows
-    whose extent is equal too, ``c`` the different extents of a rank, ``open`` tells if
-    some row of the rank is not settled, and ``chosen`` marks one row of each extent.
+    whose extent is equal too, ``goes_on`` tells if a rank has several extents and rows not
+    settled, and ``chosen`` marks one row of each extent.
     """
-    place = F.struct("doc", "p")
+    place = F.xxhash64("doc", "p")
     extents = rows.groupBy(*core, *extent).agg(
         F.count("*").alias("n"), F.max("done").alias("was_done"), F.min(place).alias("one")
     )
+    extents = steps.write(extents, f"{name}-extents")
     cores = extents.groupBy(*core).agg(
         F.count("*").alias("c"),
         F.max((F.col("n") == 1) & ~F.col("was_done")).alias("open"),
-        F.min("one").alias("new_rank"),
+        F.min("one").alias("rank"),
+    )
+    cores = steps.write(cores.where("c > 1 and open").select(*core, "rank"), f"{name}-ranks")
+    named = extents.join(cores, core, "left").where("n > 1 or rank is not null")
+    named = named.select(*core, *extent, "n", "one", "rank")
+    named = steps.write(named, f"{name}-named", [f"{name}-extents", f"{name}-ranks"])
+    joined = rows.drop("rank").join(named, [*core, *extent])
+    return (
+        joined.withColumn("chosen", F.col("one") == place)
+        .withColumn("goes_on", F.col("rank").isNotNull())
+        .drop(*core[1:], *extent, "one")
     )
-    named = staged(extents.join(staged(cores, "ranks"), core), "extents")
-    joined = rows.join(named, [*core, *extent])
-    return staged(joined.withColumn("chosen", F.col("one") == place).drop("one", "was_done"), "reranked")
 
 
 def _settled(marked: DataFrame, first: str, last: str) -> DataFrame:
@@ -155,52 +163,73 @@ def _settled(marked: DataFrame, first: str, last: str) -> DataFrame:
 
 
 def _going_on(marked: DataFrame) -> DataFrame:
-    return marked.where("chosen and c > 1 and open").select(
-        "doc", "p", "a", "lo", "hi", "x", "y", F.col("new_rank").alias("rank"), (F.col("done") | (F.col("n") > 1)).alias("done")
+    return marked.where("chosen and goes_on").select(
+        "doc", "p", "a", "lo", "hi", "x", "y", "rank", (F.col("done") | (F.col("n") > 1)).alias("done")
     )
 
 
-def repeated_starts(texts: DataFrame) -> DataFrame:
+def repeated_starts(texts: DataFrame, steps: Steps) -> DataFrame:
     """Starts of repeated strings, as ranges ``first`` to ``last`` for each ``doc``.
 
     ``texts`` has ``doc`` (binary, equal for equal texts), ``id`` (of any ordered type,
     smallest of a text is used to read it again) and ``text``.
     """
-    runs = staged(_runs(texts.select("doc", "text")), "runs")
+    runs = steps.write(_runs(texts.select("doc", "text")), "runs")
     twice = runs.groupBy("core").agg(F.count("*").alias("n")).where("n > 1").select("core")
-    rows = runs.join(staged(twice, "cores"), "core", "left_semi").select(
-        "*",
+    twice = steps.write(twice, "cores")
+    rows = runs.join(twice, "core", "left_semi").select(
+        "doc",
+        "p",
+        "a",
+        "core",
+        "extent",
         (F.col("a") - F.col("q")).cast("int").alias("lo"),
         (F.col("a") - F.col("p")).cast("int").alias("hi"),
         F.lit(0).alias("x"),
         F.lit(STRINGS - 1).alias("y"),
         F.lit(False).alias("done"),
     )
-    marked = _reranked(staged(rows, "candidates"), ["core"], ["extent"])
-    found = _settled(marked, "p", "q")
+    rows = steps.write(rows, "candidates", ["runs", "cores"])
+    marked = steps.write(_reranked(rows, ["core"], ["extent"], steps, "first"), "marked", ["candidates", "first-named"])
+    found = [_settled(marked, "a - hi", "a - lo")]
     going = _going_on(marked)
-    # The bytes that the strings of these runs cover together.
-    wanted = going.groupBy("doc").agg(F.collect_list(F.struct("p", "lo", "hi")).alias("parts"))
+    # The bytes that the strings of these runs cover together. Texts that several rows of
+    # one id share come more than once; all their strings are settled already.
+    wanted = going.groupBy("doc").agg(
+        F.collect_list(F.struct("p", "a", "lo", "hi", "x", "y", "rank", "done")).alias("parts")
+    )
     least = texts.groupBy("doc").agg(F.min("id").alias("least"))
-    wanted = staged(wanted.join(least, "doc").withColumnRenamed("doc", "d"), "wanted")
+    wanted = steps.write(wanted.join(least, "doc").withColumnRenamed("doc", "d"), "wanted")
     read = texts.join(wanted, (F.col("doc") == F.col("d")) & F.col("id").eqNullSafe(F.col("least")))
     parts = read.select("doc", F.col("text").cast("binary").alias("text"), F.explode("parts").alias("part"))
     length = F.col("part.hi") - F.col("part.lo") + LENGTH
     bytes_of = F.substring("text", (F.col("part.p") + 1).cast("int"), length)
-    extents = staged(parts.select("doc", "part.p", bytes_of.alias("bytes")).dropDuplicates(["doc", "p"]), "bytes")
-    for number in range(ROUNDS):
-        rows = _longer(going.join(extents, ["doc", "p"]), STRINGS // FAN_OUT ** (number + 1))
-        marked = _reranked(staged(rows, "longer"), ["x", "rank", "more"], ["cx", "cy", "e1", "e2"])
-        found = found.union(_settled(marked, "a - cy", "a - cx"))
-        going = _going_on(marked)
-    return found
+    going = steps.write(parts.select("doc", "part.*", bytes_of.alias("bytes")), "going-0", ["wanted"])
+    for number in range(1, ROUNDS + 1):
+        width = STRINGS // FAN_OUT**number
+        rows = steps.write(_longer(going, width), f"longer-{number}")
+        again = steps.write(
+            _reranked(rows, ["x", "k1", "k2"], ["e1", "e2"], steps, f"round-{number}"),
+            f"marked-{number}",
+            [f"longer-{number}", f"round-{number}-named"],
+        )
+        cx, cy = "greatest(x, lo)", f"least(x + {width - 1}, hi)"
+        found.append(_settled(again, f"a - {cy}", f"a - {cx}"))
+        if number < ROUNDS:
+            # Parts of one run that went on before hold the same bytes.
+            texts_of = going.select("doc", "p", "bytes")
+            texts_of = texts_of.dropDuplicates(["doc", "p"]) if number > 1 else texts_of
+            going = _going_on(again).join(texts_of, ["doc", "p"])
+            going = steps.write(going, f"going-{number}", [f"going-{number - 1}"])
+    return reduce(DataFrame.union, found)
 
 
 def _longer(rows: DataFrame, width: int) -> DataFrame:
-    """Runs cut into parts of ``width`` strings, with the bytes by which their core is longer.
+    """Runs cut into parts of ``width`` strings, with keys of their longer core and of their extent.
 
     Strings of a run start ``lo`` to ``hi`` bytes before its window, those of a part ``x``
-    to ``y``; ``bytes`` begins with the first string.
+    to ``y``; ``bytes`` begins with the first string. The key of a core pairs the rank of
+    the shorter core with the bytes on both sides by which it is longer.
     """
     start = F.explode(F.sequence(F.col("x"), F.col("y"), F.lit(width)))
     each = rows.select(
@@ -212,13 +241,14 @@ def _longer(rows: DataFrame, width: int) -> DataFrame:
     extent = F.substring("bytes", F.col("hi") - cy + 1, cy - cx + LENGTH)
     before = F.substring("bytes", F.col("hi") - F.col("x") + 1, F.col("x") - F.col("px"))
     after = F.substring("bytes", F.col("hi") - F.col("py") + LENGTH + 1, F.col("py") - F.col("y"))
+    # Two 64-bit hashes each; chance matches of both are out of the question at any size.
+    pair, whole = (F.col("rank"), before, after), (cx, cy, extent)
     return each.select(
-        "doc", "p", "a", "lo", "hi", "x", "y", "rank", "done",
-        F.concat(before, after).alias("more"),
-        cx.alias("cx"),
-        cy.alias("cy"),
-        F.xxhash64(extent).alias("e1"),
-        F.xxhash64(F.lit(1), extent).alias("e2"),
+        "doc", "p", "a", "lo", "hi", "x", "y", "done",
+        F.xxhash64(*pair).alias("k1"),
+        F.xxhash64(F.lit(1), *pair).alias("k2"),
+        F.xxhash64(*whole).alias("e1"),
+        F.xxhash64(F.lit(1), *whole).alias("e2"),
     )
 
 
@@ -247,7 +277,8 @@ def remove_repeats(documents: DataFrame, *, id: str = "doc_id", text: str = "tex
     content = F.coalesce(F.col(text), F.lit(""))
     own = documents.select(F.col(id).alias("id"), content.alias("text"))
     own = own.withColumn("doc", F.unhex(F.substring(F.sha2("text", 256), 1, 32)))
-    found = repeated_starts(own.select("doc", "id", "text"))
+    steps = Steps(documents.sparkSession)
+    found = repeated_starts(own.select("doc", "id", "text"), steps)
 
     @F.pandas_udf("array<struct<start long, end long>>")
     def merged(first: pd.Series, last: pd.Series) -> pd.Series:
@@ -260,7 +291,10 @@ def remove_repeats(documents: DataFrame, *, id: str = "doc_id", text: str = "tex
         .select(F.col("doc").alias("d"), merged("f", "l").alias("spans"))
     )
 
-    joined = own.join(staged(spans, "spans"), F.col("doc") == F.col("d"), "left")
+    spans = staged(spans, "spans")
+    del found
+    steps.drop(*list(steps.paths))
+    joined = own.join(spans, F.col("doc") == F.col("d"), "left")
     return joined.select(
         "id",
         F.octet_length("text").cast("long").alias("n_bytes"),

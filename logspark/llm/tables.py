@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-from pyarrow import fs
+import gc
+from collections.abc import Iterable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logspark.session import scratch_path, ship_package
-from logspark.sources.files import locate
-
 
-_written: list[str] = []
+_written: dict[str, SparkSession] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,16 +29,46 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.parquet(path)
-    _written.append(path)
+    _written[path] = spark
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+    _written.pop(path, None)
+
+
 def release_staged() -> None:
     """Delete all staged tables of this process; results made from them end with them."""
-    while _written:
-        system, inner = locate(_written.pop())
-        if system.get_file_info(inner).type == fs.FileType.Directory:
-            system.delete_dir(inner)
+    for path, spark in list(_written.items()):
+        _delete(spark, path)
+
+
+class Steps:
+    """Tables of an operator of many steps, each deleted when no later step reads it."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self.paths: dict[str, str] = {}
+
+    def write(self, df: DataFrame, name: str, last_use_of: Iterable[str] = ()) -> DataFrame:
+        """Stage ``df`` as ``name``; the tables it was the last to use are deleted."""
+        path = scratch_path(self.spark, name)
+        df.write.parquet(path)
+        _written[path] = self.spark
+        self.paths[name] = path
+        schema = df.schema
+        del df
+        self.drop(*last_use_of)
+        return self.spark.read.schema(schema).parquet(path)
+
+    def drop(self, *names: str) -> None:
+        """Delete tables. A collection lets Spark's cleaner delete the steps' shuffle files."""
+        for name in names:
+            _delete(self.spark, self.paths.pop(name))
+        gc.collect()
+        self.spark._jvm.System.gc()
 
 
 def packed(df: DataFrame, *keys: Column) -> DataFrame:
