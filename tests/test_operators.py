@@ -230,4 +230,4 @@ def test_session_helpers(spark):
     assert scratch_path(spark, "a").startswith(folder)
     assert cut_lineage(spark.range(3)).count() == 3
     assert spread(spark.range(100).coalesce(1)).rdd.getNumPartitions() == 4
-    assert spread(spark.range(0, 100, 1, 9)).rdd.getNumPartitions() == 9
+    assert spread(spark.range(0, 100, 1, 9), files=9).rdd.getNumPartitions() == 9
