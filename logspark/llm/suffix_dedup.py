@@ -192,7 +192,8 @@ def repeated_starts(texts: DataFrame, steps: Steps) -> DataFrame:
     rows = steps.write(rows, "candidates", ["runs", "cores"])
     marked = steps.write(_reranked(rows, ["core"], ["extent"], steps, "first"), "marked", ["candidates", "first-named"])
     found = [_settled(marked, "a - hi", "a - lo")]
-    going = _going_on(marked)
+    # Documents of one text have the same runs, so only one of each goes on.
+    going = _going_on(marked).distinct()
     # The bytes that the strings of these runs cover together. Texts that several rows of
     # one id share come more than once; all their strings are settled already.
     wanted = going.groupBy("doc").agg(
