@@ -73,8 +73,16 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What is left of every document after repeated runs of lines went."""
-    kept = deduplicate_lines(table(spark, sf_dir, "documents"))
+    """What is left of every document after repeated runs of three lines went, as in the SQL."""
+    return _kept_lines(deduplicate_lines(table(spark, sf_dir, "documents"), words=None))
+
+
+def op7_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with runs of fewer lines that have enough words."""
+    return _kept_lines(deduplicate_lines(table(spark, sf_dir, "documents")))
+
+
+def _kept_lines(kept: DataFrame) -> DataFrame:
     return kept.select(
         "doc_id",
         F.length("text").cast("long").alias("kept_chars"),
@@ -117,6 +125,7 @@ QUERIES = {
     "op5_decontamination": op5_decontamination,
     "op6_mix": op6_mix,
     "op7_lines": op7_lines,
+    "op7_passages": op7_passages,
     "op8_neighbours": op8_neighbours,
     "op9_urls": op9_urls,
     "op10_warc": op10_warc,
