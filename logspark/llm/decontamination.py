@@ -2,8 +2,9 @@
 
 Texts are canonicalised: numbers, names and units become typed placeholders, other words
 are lower-cased. Windows of template words of the benchmark are hash-joined with those of
-the documents. Where enough windows of an item lie in one document at one offset, the
-values behind the placeholders are compared slot by slot: equal values are a copy, and
+the documents. Neighbouring placeholders of one type are one slot, so a value may have any
+number of words. Where enough windows of an item lie in one document at one offset, or at
+offsets some words apart, the values behind the placeholders are compared slot by slot: equal values are a copy, and
 values replaced the same way throughout a re-parameterised question.
 
 Only built-in functions are used. Benchmark windows are broadcast if they are few.
@@ -18,6 +19,8 @@ from logspark.llm.tables import staged
 
 WINDOW = 8
 MIN_SHARE = 0.5
+# Words by which windows of one occurrence may be out of place: put in, left out, replaced by more or fewer.
+BAND = 8
 # An item with fewer words that are no placeholders cannot be told from chance.
 MIN_LITERALS = 5
 # Windows of the benchmark up to which they are broadcast; a window takes some 200 bytes.
@@ -48,11 +51,16 @@ def _marked(text: Column) -> Column:
             f"$1 {UNIT}$2 ",
         ),
     ).otherwise(lower)
-    return F.trim(
+    spaced = F.trim(
         F.regexp_replace(
             numbered, f"(?:[^\\p{{L}}\\p{{M}}\\p{{N}}{NUMBER}{NAME}{UNIT}.,%°/]|[.,/](?![0-9])|(?<![0-9])[.,/])+", " "
         )
     )
+    for kind in (NUMBER, NAME):
+        # \\G goes on where the last match ended, inside the same slot.
+        joined = F.regexp_replace(spaced, f"({kind}[^ ]*|\\G(?!^)[^ ]+) {kind}", "$1_")
+        spaced = F.when(spaced.rlike(f"{kind}[^ ]* {kind}"), joined).otherwise(spaced)
+    return spaced
 
 
 def _tokens(df: DataFrame, *keys: str) -> DataFrame:
@@ -93,7 +101,7 @@ def find_contamination(
 
     One row for each document and each class of items with equal templates and values;
     ``item`` is the class's least id (NULL if all are). ``share`` is the largest part of the
-    item's windows found at one offset, at least ``min_share``. ``kind`` is ``copy`` or
+    item's windows found at one offset or at offsets up to ``BAND`` words apart, at least ``min_share``. ``kind`` is ``copy`` or
     ``reparameterised``; where a value of the item is replaced by several, nothing is
     reported. ``digest`` hashes the document's text, as ids may repeat. Items shorter than
     ``window`` are one window; those with fewer than ``MIN_LITERALS`` words beside
@@ -140,12 +148,21 @@ def find_contamination(
         F.zip_with("asked", said, lambda a, b: F.struct(a.alias("asked"), b.alias("said"))),
         lambda s: F.substring(s["asked"], 1, 1).isin(NUMBER, NAME, UNIT),
     )
-    aligned = (
+    at_offset = (
         found.select("id", "digest", "class", "item", "pos", (F.col("at") - F.col("pos")).alias("offset"), slots.alias("slots"))
         .groupBy("id", "digest", "class", "item", "offset")
+        .agg(F.collect_set("pos").alias("places"), F.array_distinct(F.flatten(F.collect_set("slots"))).alias("slots"))
+    )
+    # Each offset alone, and every span of BAND + 1 offsets that holds it.
+    starts = F.sequence(F.col("offset") - BAND, F.col("offset"))
+    spans = F.transform(starts, lambda x: F.struct(F.lit(None).cast("int").alias("alone"), x.alias("start")))
+    alone = F.array(F.struct(F.col("offset").alias("alone"), F.col("offset").alias("start")))
+    aligned = (
+        at_offset.withColumn("span", F.explode(F.concat(alone, spans)))
+        .groupBy("id", "digest", "class", "item", "span")
         .agg(
-            F.size(F.collect_set("pos")).alias("found"),
-            F.array_distinct(F.flatten(F.collect_set("slots"))).alias("slots"),
+            F.size(F.array_distinct(F.flatten(F.collect_list("places")))).alias("found"),
+            F.array_distinct(F.flatten(F.collect_list("slots"))).alias("slots"),
         )
         .join(totals, "class")
         .withColumn("share", F.col("found") / F.col("total"))

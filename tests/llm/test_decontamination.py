@@ -53,3 +53,18 @@ def test_no_python_in_the_plan(spark):
     benchmark = spark.createDataFrame([(1, PLAIN)], "item_id long, text string")
     plan = find_contamination(rows.documents(spark), benchmark)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_words_more_or_less(spark):
+    words = [f"{a}{b}" for a in ("lo", "mi", "ra", "te") for b in "bcdfghklm"]
+    plain = " ".join(words)
+    more = " ".join(words[:18] + ["added"] + words[18:])
+    less = " ".join(words[:17] + words[18:])
+    town = " ".join(words[:17]) + " in {} " + " ".join(words[17:])
+    number = " ".join(words[:17]) + " for {} " + " ".join(words[17:])
+    items = [(1, plain, None, None), (2, "so " + town.format("New York"), None, None), (3, number.format("120 000") + " end", None, None)]
+    docs = [(100, f"before {more} after", "en", "a"), (101, f"before {less} after", "en", "a")]
+    got = found(spark, docs, items[:1])
+    assert got == [(100, 1, "copy"), (101, 1, "copy")]
+    assert found(spark, [(102, "so " + town.format("Paris"), "en", "a")], items[1:2]) == [(102, 2, "reparameterised")]
+    assert found(spark, [(103, number.format("7"), "en", "a")], items[2:]) == [(103, 3, "reparameterised")]
