@@ -12,7 +12,7 @@ Only built-in functions are used. Benchmark windows are broadcast if they are fe
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from logspark.llm.tables import staged
@@ -27,6 +27,9 @@ MIN_LITERALS = 5
 BROADCAST_WINDOWS = 500_000
 
 NUMBER, NAME, UNIT = "", "", ""
+# A capital at the start of a sentence: a name or not.
+START = "\ue003"
+MARKS = NUMBER + NAME + UNIT + START
 # Units taken for such after a number.
 UNITS = (
     "%|°c|°f|kg|mg|g|km/h|km|cm|mm|m|ml|l|s|ms|min|h|kb|mb|gb|tb|hz|khz|mhz|ghz|w|kw|kwh|v|usd|eur|gbp"
@@ -38,10 +41,11 @@ UNITS = (
 
 def _marked(text: Column) -> Column:
     """Words parted by single spaces; numbers, names and units with a mark before them."""
-    plain = F.translate(text, NUMBER + NAME + UNIT, "   ")
+    plain = F.translate(text, MARKS, " " * len(MARKS))
     plain = F.regexp_replace(plain, r"[\x00-\x20]+", " ")
-    # A capital after a word or comma is a name; at the start of a sentence it says nothing.
+    # A capital after a word or comma is a name; at the start of a sentence it may be one.
     named = F.regexp_replace(plain, r"(?<=[\p{Ll}\p{N},;:] )(?=\p{Lu})", NAME)
+    named = F.regexp_replace(named, f"(?<![\\p{{L}}\\p{{N}}{NAME}])(?=\\p{{Lu}})", START)
     lower = F.lower(named)
     numbered = F.when(
         lower.rlike("[0-9]"),
@@ -51,25 +55,42 @@ def _marked(text: Column) -> Column:
             f"$1 {UNIT}$2 ",
         ),
     ).otherwise(lower)
-    spaced = F.trim(
+    return F.trim(
         F.regexp_replace(
-            numbered, f"(?:[^\\p{{L}}\\p{{M}}\\p{{N}}{NUMBER}{NAME}{UNIT}.,%°/]|[.,/](?![0-9])|(?<![0-9])[.,/])+", " "
+            numbered, f"(?:[^\\p{{L}}\\p{{M}}\\p{{N}}{MARKS}.,%°/]|[.,/](?![0-9])|(?<![0-9])[.,/])+", " "
         )
     )
+
+
+def _slots_joined(marked: Column) -> Column:
     for kind in (NUMBER, NAME):
-        # \\G goes on where the last match ended, inside the same slot.
-        joined = F.regexp_replace(spaced, f"({kind}[^ ]*|\\G(?!^)[^ ]+) {kind}", "$1_")
-        spaced = F.when(spaced.rlike(f"{kind}[^ ]* {kind}"), joined).otherwise(spaced)
-    return spaced
+        # \G goes on where the last match ended, inside the same slot.
+        joined = F.regexp_replace(marked, f"({kind}[^ ]*|\\G(?!^)[^ ]+) {kind}", "$1_")
+        marked = F.when(marked.rlike(f"{kind}[^ ]* {kind}"), joined).otherwise(marked)
+    return marked
 
 
 def _tokens(df: DataFrame, *keys: str) -> DataFrame:
-    """Arrays ``words`` (marked) and ``template`` (values taken out) of column ``text``."""
+    """Three readings of column ``text``: ``words`` (marked), ``template`` (values taken out).
+
+    0: sentences start with plain words; 1: with names, if capitalised; 2: all are plain
+    words. ``codes`` are hashes of the template's words.
+    """
     marked = df.select(*keys, F.explode(F.array(_marked(F.col("text")))).alias("m")).where("m <> ''")
-    template = F.regexp_replace("m", f"([{NUMBER}{NAME}{UNIT}])[^ ]*", "$1")
+    readings = [
+        _slots_joined(F.translate("m", START, "")),
+        _slots_joined(F.translate("m", START, NAME)),
+        F.translate("m", MARKS, ""),
+    ]
+    reading = F.explode(F.array(*[F.struct(F.lit(i).alias("reading"), m.alias("m")) for i, m in enumerate(readings)]))
+    each = marked.select(*keys, F.xxhash64(readings[2]).alias("same"), reading.alias("r"))
+    template = F.split(F.regexp_replace("r.m", f"([{NUMBER}{NAME}{UNIT}])[^ ]*", "$1"), " ")
     # A one-row generator, so that the arrays are made once and not for each window.
-    both = F.struct(F.split("m", " ").alias("words"), F.split(template, " ").alias("template"))
-    return marked.select(*keys, F.explode(F.array(both)).alias("t")).select(*keys, "t.words", "t.template")
+    arrays = F.struct(
+        F.split("r.m", " ").alias("words"), template.alias("template"), F.transform(template, lambda x: F.xxhash64(x)).alias("codes")
+    )
+    each = each.select(*keys, "same", "r.reading", F.explode(F.array(arrays)).alias("t"))
+    return each.select(*keys, "same", "reading", "t.words", "t.template", "t.codes")
 
 
 def _windows(tokens: DataFrame, lengths: list[int], *keys: str) -> DataFrame:
@@ -79,11 +100,11 @@ def _windows(tokens: DataFrame, lengths: list[int], *keys: str) -> DataFrame:
         each = each.withColumn("n", F.lit(lengths[0]))
     each = each.where(F.size("template") >= F.col("n"))
     at = F.explode(F.sequence(F.lit(0), F.size("template") - F.col("n")))
-    return each.select(*keys, "words", "template", "n", at.alias("at"))
+    return each.select(*keys, "reading", "words", "codes", "n", at.alias("at"))
 
 
 def _hash(start: Column) -> Column:
-    return F.xxhash64("n", F.slice("template", start + 1, F.col("n")))
+    return F.xxhash64("reading", "n", F.slice("codes", start + 1, F.col("n")))
 
 
 def find_contamination(
@@ -99,29 +120,30 @@ def find_contamination(
 ) -> DataFrame:
     """Benchmark items in documents: ``id``, ``digest``, ``item``, ``share``, ``kind``.
 
-    One row for each document and each class of items with equal templates and values;
+    One row for each document and each class of items with equal words, whatever their case;
     ``item`` is the class's least id (NULL if all are). ``share`` is the largest part of the
     item's windows found at one offset or at offsets up to ``BAND`` words apart, at least ``min_share``. ``kind`` is ``copy`` or
     ``reparameterised``; where a value of the item is replaced by several, nothing is
     reported. ``digest`` hashes the document's text, as ids may repeat. Items shorter than
-    ``window`` are one window; those with fewer than ``MIN_LITERALS`` words beside
-    placeholders, NULL and empty texts match nothing. Windows of which less than half are
+    ``window`` are one window. Items are searched by their plain words, and by templates in
+    which a capital that begins a sentence is a name and in which it is none, each only with
+    ``MIN_LITERALS`` words beside placeholders. NULL and empty texts match nothing. Windows of which less than half are
     such words are not searched. Repeated rows are reported once. Other columns are
     ignored; empty tables give no rows.
     """
     items = _tokens(benchmark.select(F.col(item).alias("item"), F.col(item_text).alias("text")), "item")
     literal = F.size(F.filter("template", lambda x: ~x.isin(NUMBER, NAME, UNIT)))
     items = (
-        items.groupBy("words", "template")
-        .agg(F.min("item").alias("item"))
+        items.withColumn("item", F.min("item").over(Window.partitionBy("same")))
+        .dropDuplicates(["reading", "words"])
         .where(literal >= MIN_LITERALS)
-        .withColumn("class", F.xxhash64(F.lit(0), "words"))
+        .withColumn("class", F.xxhash64("reading", "words"))
         .withColumn("n", F.least(F.lit(window), F.size("template")))
     )
     items = staged(items, "items")
     lengths = sorted(r[0] for r in items.select("n").distinct().collect())
     start = F.explode(F.sequence(F.lit(0), F.size("template") - F.col("n")))
-    cut = items.select("class", "item", "words", "template", "n", start.alias("pos"))
+    cut = items.select("class", "same", "item", "reading", "words", "template", "codes", "n", start.alias("pos"))
     part = F.slice("template", F.col("pos") + 1, F.col("n"))
     enough = F.size(F.filter(part, lambda x: ~x.isin(NUMBER, NAME, UNIT))) * 2 >= F.col("n")
     known = staged(
@@ -129,6 +151,7 @@ def find_contamination(
             _hash(F.col("pos")).alias("h"),
             F.col("n").alias("known_n"),
             "class",
+            "same",
             "item",
             "pos",
             F.slice("words", F.col("pos") + 1, F.col("n")).alias("asked"),
@@ -149,8 +172,8 @@ def find_contamination(
         lambda s: F.substring(s["asked"], 1, 1).isin(NUMBER, NAME, UNIT),
     )
     at_offset = (
-        found.select("id", "digest", "class", "item", "pos", (F.col("at") - F.col("pos")).alias("offset"), slots.alias("slots"))
-        .groupBy("id", "digest", "class", "item", "offset")
+        found.select("id", "digest", "class", "same", "item", "pos", (F.col("at") - F.col("pos")).alias("offset"), slots.alias("slots"))
+        .groupBy("id", "digest", "class", "same", "item", "offset")
         .agg(F.collect_set("pos").alias("places"), F.array_distinct(F.flatten(F.collect_set("slots"))).alias("slots"))
     )
     # Each offset alone, and every span of BAND + 1 offsets that holds it.
@@ -159,7 +182,7 @@ def find_contamination(
     alone = F.array(F.struct(F.col("offset").alias("alone"), F.col("offset").alias("start")))
     aligned = (
         at_offset.withColumn("span", F.explode(F.concat(alone, spans)))
-        .groupBy("id", "digest", "class", "item", "span")
+        .groupBy("id", "digest", "class", "same", "item", "span")
         .agg(
             F.size(F.array_distinct(F.flatten(F.collect_list("places")))).alias("found"),
             F.array_distinct(F.flatten(F.collect_list("slots"))).alias("slots"),
@@ -173,10 +196,11 @@ def find_contamination(
     same = F.forall("slots", lambda s: s["asked"] == s["said"])
     return (
         aligned.where(consistent)
-        .groupBy("id", "digest", "class", "item")
-        .agg(F.max("share").alias("share"), F.max(same).alias("copy"))
+        .groupBy("id", "digest", "same", "item")
+        # The reading of the largest share says the kind.
+        .agg(F.max(F.struct("share", same.alias("copy"))).alias("best"))
         .select(
-            "id", "digest", "item", "share",
-            F.when(F.col("copy"), "copy").otherwise("reparameterised").alias("kind"),
+            "id", "digest", "item", "best.share",
+            F.when(F.col("best.copy"), "copy").otherwise("reparameterised").alias("kind"),
         )
     )

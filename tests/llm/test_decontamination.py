@@ -68,3 +68,17 @@ def test_words_more_or_less(spark):
     assert got == [(100, 1, "copy"), (101, 1, "copy")]
     assert found(spark, [(102, "so " + town.format("Paris"), "en", "a")], items[1:2]) == [(102, 2, "reparameterised")]
     assert found(spark, [(103, number.format("7"), "en", "a")], items[2:]) == [(103, 3, "reparameterised")]
+
+
+def test_names_at_sentence_starts_and_case(spark):
+    text = "{0} bought 12 red apples at the small shop. {1} took 9 of them to the old house near the lake. {2} ate the rest."
+    named = "when Anna and Peter met Maria near Rome they gave Oskar some bread from Lisbon for Paul"
+    slots = "Anna 12 Peter 9 Maria 7 paid Oskar 5"
+    items = [(1, text.format("Anna", "Peter", "Maria"), None, None), (2, named, None, None), (3, slots, None, None)]
+    docs = [
+        (100, "So it goes. " + text.format("Maria", "Oskar", "Paul"), "en", "a"),
+        (101, named.lower(), "en", "a"),
+        (102, named.upper(), "en", "a"),
+        (103, f"we read: {slots} there", "en", "a"),
+    ]
+    assert found(spark, docs, items) == [(100, 1, "reparameterised"), (101, 2, "copy"), (102, 2, "copy"), (103, 3, "copy")]
