@@ -11,6 +11,7 @@ from logspark.llm.language import identify_languages
 from logspark.llm.line_dedup import deduplicate_lines
 from logspark.llm.mixing import mix
 from logspark.llm.nearest import nearest_neighbours
+from logspark.llm.packing import pack
 from logspark.llm.simhash import hex_fingerprint, near_duplicates
 from logspark.llm.suffix_dedup import remove_repeats
 from logspark.llm.tables import table
@@ -117,6 +118,15 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return page_records(read_archives(spark, path, data=False))
 
 
+def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's pieces packed into sequences of at most 4096 tokens."""
+    packed = pack(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return packed.select(
+        F.col("id").alias("doc_id"), "piece", "start", F.col("length").cast("long").alias("length"),
+        "ids_crc32", "sequence_id", "offset",
+    )
+
+
 QUERIES = {
     "op1_chat": op1_chat,
     "op2_simhash": op2_simhash,
@@ -129,6 +139,7 @@ QUERIES = {
     "op8_neighbours": op8_neighbours,
     "op9_urls": op9_urls,
     "op10_warc": op10_warc,
+    "op11_packing": op11_packing,
 }
 
 ORACLES = {

@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 import gc
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from logspark.session import scratch_path, ship_package
@@ -74,3 +78,45 @@ class Steps:
 def packed(df: DataFrame, *keys: Column) -> DataFrame:
     """``keys`` beside the whole row as struct ``row``, so that no name can clash."""
     return df.select(*keys, F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"))
+
+
+def numbered(df: DataFrame, group: str, order: Iterable[str | Column] = ()) -> tuple[DataFrame, DataFrame]:
+    """Number the rows of every group without bringing a group together.
+
+    Rows are range-partitioned by ``group``, ``order`` and their place in ``df``, so that a
+    group of any size, one of equal rows too, lies in many tasks in order (NULL first).
+    Returns the rows, staged, with ``part`` and ``nth`` (from 0 within part and group), and
+    ``starts``: ``part``, ``group``, ``first`` (the group's rows in earlier parts), ``rows`` in
+    this part and ``total`` of the group. ``starts`` has at most one row for each group and
+    part more than there are groups.
+    """
+    placed = staged(df.withColumn("_at", F.monotonically_increasing_id()), "placed")
+    keys = [group, *order, "_at"]
+    ranged = placed.repartitionByRange(*keys).sortWithinPartitions(*keys).drop("_at")
+    schema = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in ranged.schema)}, part int, nth long"
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, last, seen = TaskContext.get().partitionId(), None, 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            values = batch.column(batch.schema.get_field_index(group))
+            codes = pc.dictionary_encode(values, null_encoding="encode").indices.to_numpy(zero_copy_only=False)
+            begins = np.flatnonzero(np.r_[True, codes[1:] != codes[:-1]])
+            nth = np.arange(len(codes)) - np.repeat(begins, np.diff(np.r_[begins, len(codes)]))
+            if values[0].as_py() == last and seen:
+                nth[: begins[1] if len(begins) > 1 else len(nth)] += seen
+            last, seen = values[-1].as_py(), int(nth[-1]) + 1
+            extra = [pa.array(np.full(len(nth), part, np.int32)), pa.array(nth.astype(np.int64))]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *extra], [*batch.schema.names, "part", "nth"])
+
+    rows = staged(ranged.mapInArrow(count, schema), "numbered")
+    each = rows.groupBy("part", group).agg(F.count("*").alias("rows"))
+    ordered = Window.partitionBy(group)
+    before = ordered.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = each.select(
+        "part", group, "rows",
+        F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("first"),
+        F.sum("rows").over(ordered).alias("total"),
+    )
+    return rows, starts
