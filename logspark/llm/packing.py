@@ -13,8 +13,10 @@ Spark, and each finds its place from the run that holds its number.
 from __future__ import annotations
 
 import json
+import re
 import zlib
-from collections.abc import Iterable, Iterator
+from array import array
+from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -29,11 +31,18 @@ TOKENIZER = "/opt/tokenizers/word_bpe_49k.json"
 MAX_TOKENS = 4096
 END_ID = 1
 # Words whose ids a worker remembers; beyond that it starts anew.
-_REMEMBERED = 300_000
+_REMEMBERED = 700_000
 _LONGEST_REMEMBERED = 48
 # Output rows are sent on from so many bytes of ids.
 _FLUSH_BYTES = 8 << 20
-_TO_BLANKS = str.maketrans("\t\n\r", "   ")
+# How the vocabulary's tokenizer parts text (fixed by its file).
+_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+# Latin letters, digits and marks that composition leaves alone, and the same parts for them.
+_LETTERS = "a-z\u00df-\u00f6\u00f8-\u00ff"
+_MARKS = "!-/:-@\\[-`{-~\u00a1-\u00a9\u00ab-\u00b1\u00b4\u00b6-\u00b8\u00bb\u00bf\u00d7\u00f7\u2013\u2014\u2018-\u201e\u2026\u20ac"
+_PLAIN = re.compile(f"[A-Z\u00c0-\u00d6\u00d8-\u00de{_LETTERS}0-9{_MARKS} \\t\\n\\r]*").fullmatch
+_PARTS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[0-9]|[{_MARKS}]+").findall
+_MARKS_MEET = re.compile(f"[{_MARKS}][,.] ").search
 
 
 class WordIds:
@@ -41,36 +50,73 @@ class WordIds:
 
     This kind of tokenizer drops white space, and neither its normalisation nor its merges
     reach across it, so the ids of a text are those of its blank-separated words in order.
-    Words repeat; each is encoded once. Ids are little-endian unsigned 32-bit bytes.
+    Words repeat; each is encoded once. Texts of plain characters, on which normalisation
+    does no more than lower-case, are parted here and only parts of new words are merged by
+    the tokenizer's model; all others go through the whole tokenizer. Ids are little-endian
+    unsigned 32-bit bytes.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
 
         self._tokenizer = Tokenizer.from_file(path)
-        parts = json.loads(self._tokenizer.to_str())["pre_tokenizer"]
-        split = next((p for p in parts.get("pretokenizers", [parts]) if p["type"] == "Split"), {})
+        described = json.loads(self._tokenizer.to_str())
+        steps = described["pre_tokenizer"].get("pretokenizers", [described["pre_tokenizer"]])
+        split = next((p for p in steps if p["type"] == "Split"), {})
         if (split.get("behavior"), split.get("invert")) != ("Removed", True):
             raise ValueError(f"{path}: only for tokenizers that drop white space between words")
-        self._known: dict[str, bytes] = {"": b""}
-
-    def _encode(self, words: list[str]) -> list[bytes]:
-        found = self._tokenizer.encode_batch(words, add_special_tokens=False)
-        return [np.array(e.ids, "<u4").tobytes() for e in found]
+        self._model = self._tokenizer.model
+        self._reserved = [t["content"] for t in described["added_tokens"]]
+        self._parts_known = split["pattern"] == {"Regex": _SPLIT} and [
+            n["type"] for n in (described["normalizer"] or {}).get("normalizers", [])
+        ] == ["NFC", "Replace", "Lowercase"]
+        one_by_one = ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
+        beyond = (chr(c) for c in range(0x80, 0x2100) if _PLAIN(chr(c)))
+        self._bytes = {ord(c): one_by_one(c)[0][0] for c in beyond}
+        self._words = _Words(self._ids)
+
+    def _ids(self, word: str) -> bytes:
+        ids = array("I")
+        for part in _PARTS(word):
+            mapped = part if part.isascii() else part.translate(self._bytes)
+            ids.extend([t.id for t in self._model.tokenize(mapped)])
+        return ids.tobytes()
 
     def of(self, text: str) -> bytes:
-        words = text.translate(_TO_BLANKS).split(" ")
-        known = self._known
-        if new := [w for w in set(words) if w not in known]:
-            if len(known) + len(new) > _REMEMBERED:
-                self._known = known = {"": b""}
-                new = [w for w in set(words) if w]
-            known.update(zip(new, self._encode(new), strict=True))
-        out = b"".join(map(known.__getitem__, words))
+        if len(self._words) > _REMEMBERED:
+            self._words.clear()
+        plain = bool(self._parts_known and _PLAIN(text)) and not any(r in text for r in self._reserved)
+        if plain:
+            text = text.lower()
+        text = text.replace("\n", " ").replace("\t", " ").replace("\r", " ")
+        if plain and not _MARKS_MEET(text):
+            # A part ends before such a mark; words without it are known more often.
+            text = text.replace(", ", " , ").replace(". ", " . ")
+        words = text.split(" ")
+        if plain:
+            return b"".join(map(self._words.__getitem__, words))
+        new = list(set(words).difference(self._words))
+        encoded = self._tokenizer.encode_batch(new, add_special_tokens=False)
+        self._words.update((w, array("I", e.ids).tobytes()) for w, e in zip(new, encoded, strict=True))
+        found = b"".join(map(self._words.__getitem__, words))
         for word in new:
             if len(word) > _LONGEST_REMEMBERED:
-                del known[word]
-        return out
+                del self._words[word]
+        return found
+
+
+class _Words(dict):
+    """Ids of words, found when first asked for; long words are not kept."""
+
+    def __init__(self, ids: Callable[[str], bytes]):
+        self._ids = ids
+
+    def __missing__(self, word: str) -> bytes:
+        found = self._ids(word)
+        if len(word) <= _LONGEST_REMEMBERED:
+            self[word] = found
+        return found
 
 
 @lru_cache(maxsize=2)
