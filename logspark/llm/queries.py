@@ -9,6 +9,7 @@ from logspark.llm.chat import chat_digests, format_chats
 from logspark.llm.decontamination import find_contamination
 from logspark.llm.language import identify_languages
 from logspark.llm.line_dedup import deduplicate_lines
+from logspark.llm.manifest import folded, leaf, manifest, siblings
 from logspark.llm.mixing import mix
 from logspark.llm.nearest import nearest_neighbours
 from logspark.llm.packing import pack
@@ -127,6 +128,19 @@ def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaf, subroot, root and proof of every document, and whether a copy tampered with is found out."""
+    values = [F.col(c) for c in ("doc_id", "source", "lang", "n_chars", "text")]
+    chosen = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0
+    tampered = F.when(chosen, F.col("n_chars") + 1).otherwise(F.col("n_chars"))
+    proved = manifest(table(spark, sf_dir, "documents"), leaf(*values), given=leaf(*values[:3], tampered, values[4]))
+    rows = proved.withColumn("folded_root", folded("given"))
+    return rows.select(
+        "doc_id", "leaf", "subroot", "root", F.sha2(siblings(), 256).alias("proof_sha256"), "folded_root",
+        (F.col("folded_root") == F.col("root")).alias("verified"),
+    )
+
+
 QUERIES = {
     "op1_chat": op1_chat,
     "op2_simhash": op2_simhash,
@@ -140,9 +154,77 @@ QUERIES = {
     "op9_urls": op9_urls,
     "op10_warc": op10_warc,
     "op11_packing": op11_packing,
+    "op12_manifest": op12_manifest,
 }
 
 ORACLES = {
+    "op12_manifest": r"""
+WITH RECURSIVE bits AS (
+  SELECT doc_id, list_reduce(
+    list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT)),
+    lambda crc, byte: list_reduce(range(8), lambda x, i: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END,
+                                  xor(crc, byte)),
+    4294967295) AS crc
+  FROM documents),
+fields AS (
+  SELECT d.*, row_number() OVER () AS u, coalesce(xor(b.crc, 4294967295) % 7 = 0, false) AS changed
+  FROM documents d LEFT JOIN (SELECT DISTINCT * FROM bits) b ON d.doc_id = b.doc_id),
+parts AS (
+  SELECT *,
+    coalesce(octet_length(encode(CAST(doc_id AS VARCHAR))) || ':' || doc_id, '-')
+      || coalesce(octet_length(encode(source)) || ':' || source, '-')
+      || coalesce(octet_length(encode(lang)) || ':' || lang, '-') AS head,
+    CASE WHEN changed THEN n_chars + 1 ELSE n_chars END AS n_changed,
+    coalesce(octet_length(encode(text)) || ':' || text, '-') AS tail
+  FROM fields),
+leaves AS (
+  SELECT u, doc_id, lang,
+    sha256(head || coalesce(length(CAST(n_chars AS VARCHAR)) || ':' || n_chars, '-') || tail) AS leaf,
+    sha256(head || coalesce(length(CAST(n_changed AS VARCHAR)) || ':' || n_changed, '-') || tail) AS given
+  FROM parts),
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS nth,
+         count(*) OVER (PARTITION BY lang) AS n
+  FROM leaves),
+nodes AS (
+  SELECT lang, 0 AS level, nth, leaf AS digest, n FROM placed
+  UNION ALL
+  SELECT lang, level + 1, nth // 2, sha256(string_agg(digest, '' ORDER BY nth)), (any_value(n) + 1) // 2
+  FROM nodes WHERE n > 1 GROUP BY lang, level, nth // 2),
+subroots AS (
+  SELECT lang, digest AS subroot, level AS height, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS nth, count(*) OVER () AS n
+  FROM nodes WHERE n = 1),
+tops AS (
+  SELECT 0 AS level, nth, subroot AS digest, n FROM subroots
+  UNION ALL
+  SELECT level + 1, nth // 2, sha256(string_agg(digest, '' ORDER BY nth)), (any_value(n) + 1) // 2
+  FROM tops WHERE n > 1 GROUP BY level, nth // 2),
+root AS (SELECT digest AS root, level AS height FROM tops WHERE n = 1),
+steps AS (
+  SELECT p.u, l.level, (p.nth >> l.level) % 2 AS side, s.digest AS sibling
+  FROM placed p JOIN subroots r ON p.lang IS NOT DISTINCT FROM r.lang
+  JOIN (SELECT DISTINCT level FROM nodes) l ON l.level < r.height
+  LEFT JOIN nodes s ON s.lang IS NOT DISTINCT FROM p.lang AND s.level = l.level AND s.nth = xor(p.nth >> l.level, 1)
+  UNION ALL
+  SELECT p.u, r.height + l.level, (r.nth >> l.level) % 2, s.digest
+  FROM placed p JOIN subroots r ON p.lang IS NOT DISTINCT FROM r.lang
+  JOIN (SELECT DISTINCT level FROM tops) l ON l.level < (SELECT height FROM root)
+  LEFT JOIN tops s ON s.level = l.level AND s.nth = xor(r.nth >> l.level, 1)),
+proofs AS (
+  SELECT u, sha256(coalesce(string_agg(sibling, '' ORDER BY level), '')) AS proof_sha256, max(level) + 1 AS height
+  FROM steps GROUP BY u),
+fold AS (
+  SELECT u, 0 AS level, given AS digest FROM placed
+  UNION ALL
+  SELECT f.u, f.level + 1, sha256(CASE WHEN s.side = 1 THEN coalesce(s.sibling, '') || f.digest
+                                       ELSE f.digest || coalesce(s.sibling, '') END)
+  FROM fold f JOIN steps s ON s.u = f.u AND s.level = f.level),
+ends AS (SELECT u, arg_max(digest, level) AS folded_root FROM fold GROUP BY u)
+SELECT p.doc_id, p.leaf, r.subroot, t.root, coalesce(q.proof_sha256, sha256('')) AS proof_sha256, e.folded_root,
+       e.folded_root = t.root AS verified
+FROM placed p JOIN subroots r ON p.lang IS NOT DISTINCT FROM r.lang CROSS JOIN root t
+JOIN ends e ON e.u = p.u LEFT JOIN proofs q ON q.u = p.u
+""",
     "op6_mix": r"""
 WITH sized AS (
   SELECT doc_id, source, md5('42:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h,
