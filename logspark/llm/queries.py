@@ -12,6 +12,7 @@ from logspark.llm.line_dedup import deduplicate_lines
 from logspark.llm.manifest import folded, leaf, manifest, siblings
 from logspark.llm.mixing import mix
 from logspark.llm.nearest import nearest_neighbours
+from logspark.llm.negatives import hard_negatives
 from logspark.llm.packing import pack
 from logspark.llm.simhash import hex_fingerprint, near_duplicates
 from logspark.llm.suffix_dedup import remove_repeats
@@ -141,6 +142,13 @@ def op12_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every vector whose id is divisible by 50."""
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(vectors, F.col("vec_id") % 50 == 0, label=label)
+
+
 QUERIES = {
     "op1_chat": op1_chat,
     "op2_simhash": op2_simhash,
@@ -155,9 +163,33 @@ QUERIES = {
     "op10_warc": op10_warc,
     "op11_packing": op11_packing,
     "op12_manifest": op12_manifest,
+    "op13_negatives": op13_negatives,
 }
 
 ORACLES = {
+    "op13_negatives": """
+WITH given AS (
+  SELECT row_number() OVER () AS u, vec_id,
+         CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: floor(256::DOUBLE * x::DOUBLE)) AS v
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+anchors AS (SELECT * FROM given WHERE vec_id % 50 = 0),
+scored AS (
+  SELECT a.u AS a, a.vec_id AS anchor_id, g.u, g.vec_id, a.label = g.label AS same,
+         CAST(list_dot_product(a.v, g.v) AS BIGINT) AS score
+  FROM anchors a JOIN given g ON a.u <> g.u),
+positives AS (
+  SELECT *, row_number() OVER (PARTITION BY a ORDER BY score DESC, vec_id) AS p FROM scored WHERE same QUALIFY p <= 5),
+negatives AS (
+  SELECT p.anchor_id, p.vec_id AS positive_id,
+         CAST(row_number() OVER (PARTITION BY p.a, p.p ORDER BY n.score DESC, n.vec_id) AS INTEGER) AS rank,
+         n.vec_id AS negative_id, p.score AS positive_score, n.score AS negative_score
+  FROM positives p JOIN scored n ON n.a = p.a AND NOT n.same
+   AND 50 * p.score <= 100 * n.score AND 100 * n.score <= 95 * p.score)
+SELECT * FROM negatives WHERE rank <= 3
+""",
     "op12_manifest": r"""
 WITH RECURSIVE bits AS (
   SELECT doc_id, list_reduce(
