@@ -47,6 +47,17 @@ _OPTIONS = {
     "maxNestingDepth": "10000",
 }
 
+# Brackets that may be open at once in what is parsed into a VARIANT. That parser calls
+# itself for each, and a line that exhausted a thread's stack would end the whole session.
+MAX_DEPTH = 500
+# Fixed value: nesting from which on a line is no JSON at all.
+NESTING_LIMIT = 10_000
+# Strings, brackets, and what is between them; Java matches these without recursion.
+_STRING = r'(?s:"[^"\\]*+(?:\\.[^"\\]*+)*+"?)'
+_TOKENS = _STRING + r'|[\[\]{}]|[^"\[\]{}]++'
+# Brackets around a member of ``data``: the line's and its own.
+_MEMBER_LEVEL = 2
+
 
 def may_be_json(line: Column) -> Column:
     """True if the first character after blanks is an opening brace."""
@@ -63,6 +74,104 @@ def _worth_parsing(line: Column) -> Column:
     return may_be_json(line) & ends & ~F.contains(line, F.lit("\x1b"))
 
 
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def deep_parts(line: Column) -> Column:
+    """For JSON candidates nested beyond :data:`MAX_DEPTH` how to read them; NULL for others.
+
+    Running sums over the brackets outside strings give the depth at each: ``depth`` is the
+    largest, and ``closed`` says that all are closed. Members of ``data`` (and other values at
+    their level) that reach too deep are cut out of the line: ``pieces`` are their texts, and
+    ``shallow`` has an array with one marker in their places, so that no type that matters
+    changes. Short lines and lines of few brackets are settled at once.
+    """
+    openers = F.length(line) - F.length(F.translate(line, "[{", ""))
+    suspect = (F.octet_length(line) > 2 * MAX_DEPTH) & (openers > MAX_DEPTH) & _worth_parsing(line)
+    span = "array<struct<first:int,last:int>>"
+    start = F.struct(
+        F.lit(0).alias("at"), F.lit(0).alias("open"), F.lit(0).alias("most"), F.lit(0).alias("first"),
+        F.lit(0).alias("inside"), F.expr(f"CAST(array() AS {span})").alias("spans"),
+    )
+
+    def step(sums: Column, token: Column) -> Column:
+        at = sums["at"] + 1
+        opens, closes = token.isin("[", "{"), token.isin("]", "}")
+        opened = sums["open"] + F.when(opens, 1).when(closes, -1).otherwise(0)
+        begins = opens & (opened == _MEMBER_LEVEL + 1)
+        inside = F.when(begins, opened).otherwise(F.greatest(sums["inside"], opened))
+        ends = closes & (opened == _MEMBER_LEVEL) & (sums["inside"] > MAX_DEPTH)
+        found = F.array(F.struct(sums["first"].alias("first"), at.alias("last")))
+        return F.struct(
+            at.alias("at"), opened.alias("open"), F.greatest(sums["most"], opened).alias("most"),
+            F.when(begins, at).otherwise(sums["first"]).alias("first"),
+            inside.alias("inside"),
+            F.when(ends, F.concat(sums["spans"], found)).otherwise(sums["spans"]).alias("spans"),
+        )
+
+    def parts(tokens: Column) -> Column:
+        return _let(F.aggregate(tokens, start, step), lambda sums: cut(tokens, sums))
+
+    def cut(tokens: Column, sums: Column) -> Column:
+        def text(first: Column, last: Column) -> Column:
+            return F.array_join(F.slice(tokens, first, last - first + 1), "")
+
+        spans = sums["spans"]
+        shallow = F.aggregate(
+            F.sequence(F.lit(1), F.greatest(F.size(spans), F.lit(1))),
+            F.struct(F.lit(1).alias("next"), F.lit("").alias("text")),
+            lambda made, n: F.when(n > F.size(spans), made).otherwise(
+                F.struct(
+                    (F.get(spans, n - 1)["last"] + 1).alias("next"),
+                    F.concat(
+                        made["text"], text(made["next"], F.get(spans, n - 1)["first"] - 1), deep_marker(line, n)
+                    ).alias("text"),
+                )
+            ),
+            lambda made: F.concat(made["text"], text(made["next"], F.size(tokens))),
+        )
+        return F.struct(
+            sums["most"].alias("depth"),
+            (sums["open"] == 0).alias("closed"),
+            shallow.alias("shallow"),
+            F.transform(spans, lambda s: text(s["first"], s["last"])).alias("pieces"),
+        )
+
+    tokens = F.regexp_extract_all(line, F.lit(_TOKENS), F.lit(0))
+    found = F.when(suspect, _let(tokens, parts))
+    return F.when(found["depth"] > MAX_DEPTH, found)
+
+
+def deep_marker(line: Column, number: Column) -> Column:
+    """What stands for the piece of this number; no line holds the hash of itself."""
+    return F.concat(F.lit('["deep:'), F.xxhash64(line).cast("string"), F.lit(":"), number.cast("string"), F.lit('"]'))
+
+
+def sound_pieces(pieces: Column) -> Column:
+    """True if cut-out pieces are JSON. The reader passes over them without making values."""
+    skipped = F.concat(F.lit('{"skip":['), F.array_join(pieces, ","), F.lit('],"end":true}'))
+    return F.from_json(skipped, "end boolean", _OPTIONS)["end"]
+
+
+def parsed_line(line: Column, deep: Column, sound: Column) -> Column:
+    """The text that is parsed for a line: without deep values, and NULL if they are broken."""
+    return F.when(deep.isNull(), line).when(sound, deep["shallow"])
+
+
+def with_pieces(data: Column, line: Column, pieces: Column) -> Column:
+    """``data`` with its deep pieces again in their places; keys inside them keep their order."""
+    def compact(piece: Column) -> Column:
+        return F.regexp_replace(piece, f"({_STRING})|[ \\t\\r\\n]++", "$1")
+
+    numbers = F.sequence(F.lit(1), F.greatest(F.size(pieces), F.lit(1)))
+    restored = F.aggregate(
+        numbers, data, lambda text, n: F.replace(text, deep_marker(line, n), F.coalesce(compact(F.get(pieces, n - 1)), F.lit("")))
+    )
+    return F.when(pieces.isNull(), data).otherwise(restored)
+
+
 def wrapped_line(line: Column, case_insensitive_keys: bool = False) -> Column:
     """JSON candidates parsed as ``[line, sentinel]``; NULL for broken JSON."""
     wrapped = F.when(

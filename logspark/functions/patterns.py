@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable
+import uuid
+from collections.abc import Iterable, Iterator
 from functools import cache, reduce
 
-from pyspark.sql import Column
+import pandas as pd
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
+from logspark.session import ship_package
+
 # A pattern holding one of these is a regular expression.
 REGEX_CHARACTERS = "$()*+.?[\\]^{|}"
 
@@ -107,12 +111,92 @@ def matches(text: Column, pattern: str) -> Column:
     return F.contains(text, F.lit(pattern))
 
 
+# Literals up to which each is an expression of its own; more become an automaton, so that
+# neither the plan nor the work for a character grows with the list.
+FEW_PATTERNS = 16
+# Bytes of literals that one automaton is built from; it takes some 50 times as much memory.
+AUTOMATON_BYTES = 4 << 20
+
+
 def matches_any(text: Column, patterns: str | Iterable[str]) -> Column:
-    """True where at least one pattern matches; no pattern matches nothing."""
-    patterns = [patterns] if isinstance(patterns, str) else list(patterns)
-    if not patterns:
-        return F.lit(False)
-    return reduce(lambda a, b: a | b, [matches(text, p) for p in patterns])
+    """True where at least one pattern matches; no pattern matches nothing.
+
+    Few literals are looked for one by one. Many go to Aho-Corasick automata, which pass over
+    a text once whatever their number; they are built once in each Python worker from a
+    broadcast list of bounded size, a further list for each :data:`AUTOMATON_BYTES`. Many
+    regular expressions become one alternation.
+    """
+    patterns = [patterns] if isinstance(patterns, str) else list(dict.fromkeys(patterns))
+    literals = [p for p in patterns if not is_regex(p)]
+    regexes = [p for p in patterns if is_regex(p)]
+    if len(literals) > FEW_PATTERNS:
+        found = [_contains_any(text, part) for part in _parts(shortest_only(literals), AUTOMATON_BYTES)]
+    else:
+        found = [F.contains(text, F.lit(p)) for p in literals]
+    # Group names would clash in one expression.
+    single = [p for p in regexes if "(?P<" in p or len(regexes) <= FEW_PATTERNS]
+    joined = [java_regex(p) for p in regexes if p not in single]
+    found += [text.rlike(java_regex(p)) for p in single]
+    if joined:
+        found.append(text.rlike("|".join(f"(?:{p})" for p in joined)))
+    return reduce(lambda a, b: a | b, found, F.lit(False))
+
+
+def shortest_only(literals: Iterable[str]) -> list[str]:
+    """Without literals that begin with another one: where they stand, it stands as well."""
+    kept: list[str] = []
+    for literal in sorted(literals):
+        if not kept or not literal.startswith(kept[-1]):
+            kept.append(literal)
+    return kept
+
+
+def _parts(literals: list[str], most: int) -> list[list[str]]:
+    """The list in pieces of about ``most`` bytes."""
+    parts, size = [[]], 0
+    for literal in literals:
+        size += len(literal.encode())
+        if parts[-1] and size > most:
+            parts.append([])
+            size = len(literal.encode())
+        parts[-1].append(literal)
+    return parts
+
+
+_automata: dict[str, object] = {}
+
+
+def _automaton(key: str, literals: list[str]):
+    """The automaton of a list, built once in each worker."""
+    found = _automata.get(key)
+    if found is None:
+        import ahocorasick
+
+        found = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
+        for literal in literals:
+            found.add_word(literal)
+        found.make_automaton()
+        if len(_automata) >= 8:
+            _automata.clear()
+        _automata[key] = found
+    return found
+
+
+def _contains_any(text: Column, literals: list[str]) -> Column:
+    if literals[0] == "":  # sorted: the empty text stands everywhere
+        return F.when(text.isNotNull(), True)
+    spark = SparkSession.active()
+    ship_package(spark)
+    sent = spark.sparkContext.broadcast(literals)
+    key = uuid.uuid4().hex
+
+    @F.pandas_udf("boolean")
+    def found(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        search = _automaton(key, sent.value).iter
+        for batch in texts:
+            yield batch.map(lambda t: next(search(t), None) is not None, na_action="ignore").astype("boolean")
+
+    return found(text)
 
 
 def glob_regex(glob: str) -> str:

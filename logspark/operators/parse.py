@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from logspark.functions import entry, levels, timestamps
-from logspark.schema import ENTRY_COLUMNS
+from logspark.schema import ENTRY_COLUMNS, UNPARSED_KINDS
 
 
 def parse_lines(
@@ -21,7 +21,9 @@ def parse_lines(
     """Replace the ``value`` column of a line DataFrame by the entry columns.
 
     ``kind`` is ``lager`` for a usable entry, ``no_timestamp`` for a well-formed one
-    without time, and ``raw`` for every other line, whose text is kept in ``raw``.
+    without time, ``too_deep`` for one nested beyond
+    :data:`logspark.functions.entry.NESTING_LIMIT`, which is not parsed, and ``raw`` for every
+    other line. The text of the last two is kept in ``raw``.
     Works on batch and streaming input; no shuffle and no Python.
     """
     # A line that repeats a key keeps the last value. Stays on for the session, since the
@@ -46,11 +48,24 @@ def _steps(gateway: int, case_insensitive_keys: bool, keep_nonstring: bool) -> l
     They are the same for every table, and making some hundred expressions takes longer
     than planning them. ``gateway`` is the connection they belong to.
     """
-    wrapped = entry.wrapped_line(F.col("value"), case_insensitive_keys).alias("w")
+    deep = entry.deep_parts(F.col("value")).alias("deep")
+    readable = F.col("deep.closed") & (F.col("deep.depth") <= entry.NESTING_LIMIT)
+    sound = F.when(readable, entry.sound_pieces(F.col("deep.pieces"))).alias("sound")
+    parsed = entry.parsed_line(F.col("value"), F.col("deep"), F.col("sound")).alias("line")
+    wrapped = entry.wrapped_line(F.col("line"), case_insensitive_keys).alias("w")
     texts = _any_case_texts() if case_insensitive_keys else _texts()
-    return [(("value",), [wrapped]), *texts, *_entry_steps(keep_nonstring)]
+    return [
+        (("value",), [deep]),
+        (_LINE, [sound]),
+        ((*_LINE, "sound"), [parsed]),
+        ((*_LINE, "line"), [wrapped]),
+        *texts,
+        *_entry_steps(keep_nonstring),
+    ]
 
 
+# The line as it came, and its deep values.
+_LINE = ("value", "deep")
 _KEYS = (*entry.SCALAR_KEYS, *entry.STRING_KEYS)
 _TEXTS = ("whole", *[f"t_{key}" for key in (*_KEYS, "data")], *[f"no_{key}" for key in (*_KEYS, "data")])
 
@@ -81,7 +96,10 @@ def _entry_steps(keep_nonstring: bool) -> list[Step]:
         timestamps.rfc3339_nanos(text, F.col("instant")),
     )
     kind = (
-        F.when(~F.coalesce(valid, F.lit(False)), F.lit("raw"))
+        F.when(
+            ~F.coalesce(valid, F.lit(False)),
+            F.when(F.col("deep.depth") > entry.NESTING_LIMIT, F.lit("too_deep")).otherwise(F.lit("raw")),
+        )
         .when(timestamps.is_zero_time(sec, nanos), F.lit("no_timestamp"))
         .otherwise(F.lit("lager"))
     )
@@ -97,7 +115,7 @@ def _entry_steps(keep_nonstring: bool) -> list[Step]:
     tagged = F.inline(F.array(F.struct(*[c.alias(n) for n, c in values.items()])))
 
     def parsed(value: Column) -> Column:
-        return F.when(F.col("kind") != "raw", value)
+        return F.when(~F.col("kind").isin(*UNPARSED_KINDS), value)
 
     def timed(value: Column) -> Column:
         return F.when(F.col("kind") == "lager", value)
@@ -121,13 +139,13 @@ def _entry_steps(keep_nonstring: bool) -> list[Step]:
             parsed(entry.first_text(F.col(f"t_{key}"), F.col(f"d_{key}"))).alias(key)
             for key in ("session", "error", "trace")
         ],
-        parsed(entry.compact_json(F.col("rest"))).alias("data"),
-        F.when(F.col("kind") == "raw", F.col("value")).alias("raw"),
+        parsed(entry.with_pieces(entry.compact_json(F.col("rest")), F.col("value"), F.col("deep.pieces"))).alias("data"),
+        F.when(F.col("kind").isin(*UNPARSED_KINDS), F.col("value")).alias("raw"),
     ]
     return [
-        (("value", *_TEXTS), typed),
-        (("value",), [tagged]),
-        (("value", *values), opened),
+        ((*_LINE, *_TEXTS), typed),
+        (_LINE, [tagged]),
+        ((*_LINE, *values), opened),
         (("kind",), made),
     ]
 
@@ -142,7 +160,7 @@ def _texts() -> list[Step]:
     doubt: Column = F.lit(False)
     for key in entry.UNSURE_KEYS:
         doubt = doubt | F.coalesce(entry.unsure(key, F.col(f"w_{key}")), F.lit(False))
-    exact_fields = F.struct(*[v.alias(k) for k, v in entry.exact_fields(F.col("value")).items()])
+    exact_fields = F.struct(*[v.alias(k) for k, v in entry.exact_fields(F.col("line")).items()])
     settled = F.when(doubt, exact_fields).alias("exact")
 
     def text(key: str) -> Column:
@@ -159,7 +177,7 @@ def _texts() -> list[Step]:
         entry.is_absent(F.col("w_data")).alias("no_data"),
     ]
     fields = tuple(f"w_{key}" for key in entry.WIRE_KEYS)
-    return [(("value",), raw), (("value", "whole", *fields), [settled]), (("value", "whole"), texts)]
+    return [((*_LINE, "line"), raw), ((*_LINE, "line", "whole", *fields), [settled]), ((*_LINE, "whole"), texts)]
 
 
 def _any_case_texts() -> list[Step]:
@@ -171,7 +189,7 @@ def _any_case_texts() -> list[Step]:
         entry.object_members(w["data"]).alias("t_data"),
         *[entry.is_absent(w[key]).alias(f"no_{key}") for key in entry.WIRE_KEYS],
     ]
-    return [(("value",), texts)]
+    return [(_LINE, texts)]
 
 
 def usable_entries(lines: DataFrame, **options) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from logspark.functions.patterns import java_regex
 from logspark.operators.joins import BROADCAST_BYTES, anti_join, key_bytes, salted_anti_join
-from logspark.schema import FIELDS
+from logspark.schema import FIELDS, UNPARSED_KINDS
 from logspark.session import cut_lineage
 
 # Fixed value: a file with this many bad lines is dropped.
@@ -114,7 +114,7 @@ def file_report(entries: DataFrame, keys: tuple[str, ...] = ("file",)) -> DataFr
     Give it the entries of *all* lines, empty ones included: an empty line counts as
     failed. A line that is a bare JSON ``null`` counts as neither failed nor valid.
     """
-    failed = (F.col("kind") == "raw") & ~F.coalesce(
+    failed = F.col("kind").isin(*UNPARSED_KINDS) & ~F.coalesce(
         F.trim("raw", F.lit(" \t\r\n")) == "null", F.lit(False)
     )
     return entries.groupBy(*keys).agg(

@@ -214,7 +214,7 @@ ORACLES: dict[str, str] = {
         epoch_sec * 1000000 + nanos // 1000 AS unix_us FROM parsed"""
     ),
     # The fields follow from the form; nothing is parsed.
-    "line_forms": f"""WITH {PARTS}, forms AS (SELECT event_id, sec, event_id % 12 AS form FROM parts)
+    "line_forms": f"""WITH {PARTS}, forms AS (SELECT event_id, sec, event_id % 13 AS form FROM parts)
         SELECT event_id, CASE WHEN form IN (0, 1, 2, 3, 6) THEN 'raw' ELSE 'lager' END AS kind,
           CASE WHEN form NOT IN (0, 1, 2, 3, 6) THEN sec END AS epoch_sec,
           CASE WHEN form = 5 THEN 500000000 WHEN form NOT IN (0, 1, 2, 3, 6) THEN 250000000 END AS nanos,
@@ -222,10 +222,23 @@ ORACLES: dict[str, str] = {
           CASE WHEN form NOT IN (0, 1, 2, 3, 6) THEN 's' END AS source,
           CASE form WHEN 4 THEN '' WHEN 5 THEN 'bare' WHEN 7 THEN 'last'
             WHEN 8 THEN 'tab' || chr(9) || ' quote" é' WHEN 9 THEN 'zürich 日本'
-            WHEN 10 THEN 'carriage return' WHEN 11 THEN '' END AS message,
+            WHEN 10 THEN 'carriage return' WHEN 11 THEN '' WHEN 12 THEN '' END AS message,
           NULL::VARCHAR AS session, NULL::VARCHAR AS error, NULL::VARCHAR AS trace,
-          CASE form WHEN 4 THEN '{{"n":1}}' WHEN 9 THEN '{{"ключ":"значение"}}' END AS data
+          CASE form WHEN 4 THEN '{{"n":1}}' WHEN 9 THEN '{{"ключ":"значение"}}'
+            WHEN 12 THEN '{{"n":' || repeat('[', 1200) || repeat(']', 1200) || '}}' END AS data
         FROM forms""",
+    # An array or object of depth d around data and entry; lengths follow from the depth.
+    "nested_lines": f"""WITH {PARTS}, depths AS (
+          SELECT event_id, sec, event_id % 3 = 0 AS objects, CASE WHEN event_id % 20 = 1 THEN 3000 ELSE 1 END AS marks,
+            CASE WHEN event_id % 20 = 0 THEN [3, 498, 499, 1200, 5000, 9998, 11000][event_id // 20 % 7 + 1]
+              ELSE event_id % 4 END AS d FROM parts),
+        sized AS (
+          SELECT *, 6 + CASE WHEN d = 0 THEN 1 WHEN objects THEN 6 * d + 1 ELSE 2 * d END AS data_size FROM depths)
+        SELECT event_id, CASE WHEN d > 9998 THEN 'too_deep' ELSE 'lager' END AS kind,
+          CASE WHEN d <= 9998 THEN 1 + 2 * marks END AS message_length,
+          CASE WHEN d <= 9998 THEN data_size END AS data_length,
+          CASE WHEN d > 9998 THEN 54 + length(CAST(sec AS VARCHAR)) + 2 * marks + data_size END AS raw_length
+        FROM sized""",
     "parse_kinds": over_parsed(
         "SELECT node AS file, kind, count(*) AS lines FROM parsed GROUP BY ALL"
     ),
@@ -342,6 +355,11 @@ ORACLES: dict[str, str] = {
     ),
     "document_patterns": f"""WITH {DOC_LINES} SELECT doc_id, value FROM doc_lines
         WHERE contains(value, 'the the') OR regexp_matches(value, '[0-9]{{3}}-[0-9]{{4}}')""",
+    # A literal is a number in base 26 here; the first and last word are not between blanks.
+    "literal_list": r"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS value FROM documents)
+        SELECT doc_id, value FROM l WHERE len(list_filter(string_split(value, ' ')[2:-2], lambda w:
+          regexp_full_match(w, '[a-z]{4}') AND
+          ((((ascii(w[1]) - 97) * 26 + ascii(w[2]) - 97) * 26 + ascii(w[3]) - 97) * 26 + ascii(w[4]) - 97) % 45 = 0)) > 0""",
     "page_patterns": """SELECT page_id, contains(html, '<nav>') AS has_nav,
         regexp_matches(html, '<h[1-3][ >]') AS has_heading FROM pages""",
     "conversation_patterns": """SELECT conv_id, turn, role FROM conversations

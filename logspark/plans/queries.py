@@ -92,6 +92,7 @@ LINE_FORMS = (
     '{~,"message":"zürich 日本","data":{"ключ":"значение"}}',
     '{~,"message":"carriage return"}\r',
     '{~,"message":null,"data":null}',
+    '{~,"data":{"n":' + "[" * 1200 + "]" * 1200 + "}}",
 )
 
 
@@ -107,6 +108,29 @@ def line_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parse_lines(lines).select("event_id", "kind", *FIELDS)
 
 
+# Depths of nested arrays, by event number; the entry and its data are two levels more.
+DEPTHS = (3, 498, 499, 1200, 5000, 9998, 11000)
+
+
+@query
+def nested_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nesting on both sides of the limits, in arrays and objects; brackets in strings do not count."""
+    event = F.col("event_id")
+    deep = F.element_at(F.array(*map(F.lit, DEPTHS)), ((event / 20).cast("long") % len(DEPTHS)).cast("int") + 1)
+    depth = F.when(event % 20 == 0, deep).otherwise(event.cast("int") % 4)
+    objects = F.concat(F.repeat(F.lit('{"a":'), depth), F.lit("1"), F.repeat(F.lit("}"), depth))
+    arrays = F.concat(F.repeat(F.lit("["), depth), F.repeat(F.lit("]"), depth))
+    nested = F.when(depth == 0, F.lit("0")).when(event % 3 == 0, objects).otherwise(arrays)
+    quoted = F.concat(F.lit('"\\"'), F.repeat(F.lit("[{"), F.when(event % 20 == 1, 3000).otherwise(1)), F.lit('"'))
+    stamp = F.concat(F.lit('{"timestamp":"'), F.col("sec").cast("string"), F.lit('.5","source":"s","message":'))
+    value = F.concat(stamp, quoted, F.lit(',"data":{"n":'), nested, F.lit("}}"))
+    parsed = parse_lines(event_parts(events(spark, sf_dir)).select("event_id", value.alias("value")))
+    return parsed.select(
+        "event_id", "kind", F.length("message").alias("message_length"), F.length("data").alias("data_length"),
+        F.length("raw").alias("raw_length"),
+    )
+
+
 @query
 def parse_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
     parsed = parse_lines(sample_lines(spark, sf_dir))
@@ -407,6 +431,25 @@ def document_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _four_letters(number: int) -> str:
+    letters = []
+    for _ in range(4):
+        number, letter = divmod(number, 26)
+        letters.append(chr(ord("a") + letter))
+    return "".join(reversed(letters))
+
+
+# Ten thousand literals: every 45th word of four letters, between blanks.
+MANY_LITERALS = [f" {_four_letters(n)} " for n in range(0, 26**4, 45)]
+
+
+@query
+def literal_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of all documents that hold one of ten thousand literals."""
+    lines = document_lines(spark, sf_dir)
+    return lines.where(matches_any(F.col("value"), MANY_LITERALS)).select("doc_id", "value")
+
+
 @query
 def page_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "html")

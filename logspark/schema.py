@@ -36,4 +36,6 @@ ENTRY_COLUMNS = (
     "kind",
     "raw",
 )
-KINDS = ("lager", "no_timestamp", "raw")
+KINDS = ("lager", "no_timestamp", "raw", "too_deep")
+# Kinds without fields; their text is in ``raw``.
+UNPARSED_KINDS = ("raw", "too_deep")

@@ -155,8 +155,8 @@ def test_every_line_gets_one_kind(spark):
 
 def test_filter_does_not_parse_twice(spark):
     plan = usable_entries(lines_df(spark, [line()]))._jdf.queryExecution().optimizedPlan()
-    # Once for every line, once for those with a field of unsure type.
-    assert plan.toString().count("from_json") == 2
+    # Once for every line, once for those with a field of unsure type, once for values cut out.
+    assert plan.toString().count("from_json") == 3
 
 
 json_values = st.recursive(
@@ -206,3 +206,74 @@ def test_infinite_numbers_are_no_text(spark):
     assert {r.kind for r in parse_lines(df).collect()} == {"raw"}
     df = spark.createDataFrame([('{"timestamp":"1700000000","source":"Infinity"}',)], "value string")
     assert [(r.kind, r.source) for r in parse_lines(df).collect()] == [("lager", "Infinity")]
+
+
+def nested(depth, kind="array", data='{"n":%s}'):
+    opens, closes = ("[", "]") if kind == "array" else ('{"a":', "}")
+    inner = opens * depth + ("" if kind == "array" else "1") + closes * depth
+    return '{"timestamp":"1700000000.5","source":"s","data":' + data % inner + "}"
+
+
+@pytest.mark.parametrize("options", [{}, {"case_insensitive_keys": True}])
+@pytest.mark.parametrize("kind", ["array", "object"])
+def test_deep_nesting_does_not_end_the_session(spark, kind, options):
+    depths = (1, 100, 498, 499, 1200, 5000, 9998, 9999, 11000)
+    lines = [(d, nested(d, kind)) for d in depths]
+    parsed = parse_lines(spark.createDataFrame(lines, "depth int, value string"), **options).collect()
+    assert len(parsed) == len(depths)
+    for row in parsed:
+        text = nested(row.depth, kind)
+        if row.depth <= 9998:
+            assert (row.kind, row.raw) == ("lager", None), row.depth
+            assert row.data == text[text.index('{"n"') : -1]
+        else:
+            assert (row.kind, row.raw, row.data) == ("too_deep", text, None), row.depth
+
+
+def test_deep_values_come_back_in_their_places(spark):
+    deep, other = "[" * 700 + "]" * 700, '{"k": ' * 600 + '"[\\"]" ' + "}" * 600
+    data = f'{{"b": [1, {deep}], "session": {deep}, "a": {other}, "c": [[2]], "error": "e"}}'
+    text = f'{{"timestamp":"1700000000.5","source":"s","x":{deep},"data":{data}}}'
+    row = parse_one(spark, text)
+    assert (row.kind, row.session, row.error) == ("lager", None, "e")
+    assert row.data == f'{{"a":{other.replace(" ", "")},"b":[1,{deep}],"c":[[2]]}}'
+    again = '{"timestamp":"1700000000.5","data":' + row.data + "}"
+    assert parse_one(spark, again).data == row.data
+
+
+@pytest.mark.parametrize("value", ['"message":%s', '"data":%s', '"data":{"a":%s,}', '"data":{"a":%s]}', '"session":%s', '"data":{"a":[%s"x" 1]}'])
+def test_deep_values_of_wrong_type_or_broken(spark, value):
+    text = '{"timestamp":"1700000000.5","source":"s",' + value % ("[" * 700 + "]" * 700) + "}"
+    assert parse_one(spark, text).kind == "raw"
+
+
+@pytest.mark.parametrize("inside", ["1 2", '"a":1', "tru", '"\\x"', "[}", "01"])
+def test_broken_deep_pieces(spark, inside):
+    text = '{"timestamp":"1700000000.5","data":{"a":' + "[" * 700 + inside + "]" * 700 + "}}"
+    assert parse_one(spark, text).kind == "raw"
+
+
+def test_depth_counts_only_what_is_open(spark):
+    many = '{"n":[' + ",".join(["[]", "{}"] * 3000) + "]}"
+    quoted = '{"n":"' + "[{" * 3000 + '\\\\\\"' + "[" * 3000 + '"}'
+    cases = [
+        (1, '{"timestamp":"1700000000.5","source":"s","data":' + many + "}", "lager"),
+        (2, '{"timestamp":"1700000000.5","source":"s","data":' + quoted + "}", "lager"),
+        (3, '{"timestamp":"1700000000.5","message":"' + "[" * 5000 + '}', "raw"),
+        (4, '{"timestamp":"1700000000.5","data":{"n":' + "[" * 5000 + "}", "raw"),
+        (5, nested(5000) + " trailing", "raw"),
+        (6, "[" * 5000 + "]" * 5000, "raw"),
+        (7, '{"timestamp":"1700000000.5","source":"\\"","data":{"a":"\\\\","b":' + "[" * 600 + "]" * 600 + "}}", "lager"),
+        (8, '{"timestamp":"1700000000.5","data":{"n":' + "[" * 12000 + "]" * 12000 + "}}", "too_deep"),
+    ]
+    table = spark.createDataFrame([(i, v) for i, v, _ in cases], "i int, value string")
+    got = {r.i: r.kind for r in parse_lines(table).collect()}
+    assert got == {i: kind for i, _, kind in cases}
+
+
+def test_deep_lines_count_as_failed(spark):
+    from logspark.operators.quality import file_report
+
+    table = spark.createDataFrame([("f", nested(11000)), ("f", nested(2))], "file string, value string")
+    row = file_report(parse_lines(table)).first()
+    assert (row.total_lines, row.error_lines, row.valid_lines) == (2, 1, 1)
