@@ -7,7 +7,12 @@ number of words. Where enough windows of an item lie in one document at one offs
 offsets some words apart, the values behind the placeholders are compared slot by slot: equal values are a copy, and
 values replaced the same way throughout a re-parameterised question.
 
-Only built-in functions are used. Benchmark windows are broadcast if they are few.
+A first look finds the documents that can hold enough windows at all. Of every window's words
+that are no values, the longest neighbouring two (or the longest one, where none are
+neighbours) must stand in a document in the same way; they are looked up in its plain words,
+and templates are made of the documents that have any.
+
+Only built-in functions are used. What is made of the benchmark is broadcast if it is small.
 """
 
 from __future__ import annotations
@@ -23,10 +28,13 @@ MIN_SHARE = 0.5
 BAND = 8
 # An item with fewer words that are no placeholders cannot be told from chance.
 MIN_LITERALS = 5
-# Windows of the benchmark up to which they are broadcast; a window takes some 200 bytes.
-BROADCAST_WINDOWS = 500_000
+# Bytes of the benchmark's windows up to which they are broadcast.
+BROADCAST_BYTES = 64 << 20
+# Between words of the first look at a document; the same around words of letters as in templates.
+_BETWEEN = r"[^\p{L}\p{M}\p{N}%°]+"
+_LETTERS = r"^[\p{L}\p{M}]+$"
 
-NUMBER, NAME, UNIT = "", "", ""
+NUMBER, NAME, UNIT = "\ue000", "\ue001", "\ue002"
 # A capital at the start of a sentence: a name or not.
 START = "\ue003"
 MARKS = NUMBER + NAME + UNIT + START
@@ -107,6 +115,54 @@ def _hash(start: Column) -> Column:
     return F.xxhash64("reading", "n", F.slice("codes", start + 1, F.col("n")))
 
 
+def _rarest(part: Column) -> Column:
+    """``length`` and ``hash`` of a window's longest two neighbours that are words of letters.
+
+    Of the longest word and with length 0, if there are no such neighbours.
+    """
+    def longest(found: Column) -> Column:
+        return F.array_max(F.filter(found, lambda x: x.isNotNull()))
+
+    following = F.slice(part, 2, F.greatest(F.size(part) - 1, F.lit(1)))
+    two = F.zip_with(
+        part, following,
+        lambda a, b: F.when(
+            a.rlike(_LETTERS) & b.rlike(_LETTERS),
+            F.struct((F.length(a) + F.length(b)).alias("length"), F.xxhash64(a, b).alias("hash")),
+        ),
+    )
+    one = F.transform(
+        part, lambda a: F.when(a.rlike(_LETTERS), F.struct(F.length(a).alias("length"), F.xxhash64(a).alias("hash")))
+    )
+    alone = longest(one)["hash"]
+    return F.coalesce(longest(two), F.when(alone.isNotNull(), F.struct(F.lit(0).alias("length"), alone.alias("hash"))))
+
+
+def _worth_a_look(own: DataFrame, known: DataFrame, totals: DataFrame, min_share: float, small: bool) -> DataFrame:
+    """``id`` and ``digest`` of documents that can hold enough windows of some item.
+
+    A document without any of ``total - least + 1`` windows of an item has fewer than
+    ``least``, so that many are looked for: those with the longest words.
+    """
+    order = Window.partitionBy("class").orderBy(F.desc("rarest.length"), "rarest.hash", "pos")
+    least = F.ceil(F.col("total") * min_share)
+    asked = known.select("class", "pos", "rarest", F.row_number().over(order).alias("nth")).join(totals, "class")
+    asked = asked.where(F.col("nth") <= F.col("total") - least + 1)
+    rarest = staged(asked.select(F.col("rarest.hash").alias("h")).distinct(), "rarest")
+    plain = F.lower(F.translate("text", MARKS, " " * len(MARKS)))
+    split = F.explode(F.array(F.split(plain, _BETWEEN))).alias("w")
+    words = own.select("id", "digest", split)
+    at = F.explode(F.sequence(F.lit(0), F.size("w") - 1)).alias("at")
+    first, second = F.get("w", F.col("at")), F.get("w", F.col("at") + 1)
+    hashes = F.explode(F.array(F.xxhash64(first, second), F.xxhash64(first)))
+    held = words.select("id", "digest", "w", at).select("id", "digest", hashes.alias("h"))
+    if small:
+        held = held.join(F.broadcast(rarest), "h", "left_semi")
+    else:
+        held = held.distinct().join(rarest, "h", "left_semi")
+    return staged(held.select("id", "digest").distinct(), "looked-at")
+
+
 def find_contamination(
     documents: DataFrame,
     benchmark: DataFrame,
@@ -155,18 +211,29 @@ def find_contamination(
             "item",
             "pos",
             F.slice("words", F.col("pos") + 1, F.col("n")).alias("asked"),
+            _rarest(part).alias("rarest"),
         ),
         "windows",
     )
     totals = known.groupBy("class").agg(F.count("*").alias("total"))
-    if known.count() <= BROADCAST_WINDOWS:
-        known, totals = F.broadcast(known), F.broadcast(totals)
+    held = known.agg(F.sum(F.length(F.array_join("asked", " ")) + 100).alias("bytes"), F.count_if(F.col("rarest").isNull()).alias("bare")).first()
+    small = (held["bytes"] or 0) <= BROADCAST_BYTES
     own = documents.select(
         F.col(id).alias("id"), F.xxhash64(F.col(text)).alias("digest"), F.col(text).alias("text")
     )
-    cut = _windows(_tokens(own, "id", "digest"), lengths or [window], "id", "digest")
-    found = cut.withColumn("key", _hash(F.col("at"))).join(known, (F.col("key") == F.col("h")) & (F.col("n") == F.col("known_n")))
+    if not held["bare"]:
+        looked = _worth_a_look(own, known, totals, min_share, small).select(F.col("id").alias("i"), F.col("digest").alias("d"))
+        own = own.join(looked, F.col("id").eqNullSafe(F.col("i")) & (F.col("digest") == F.col("d")), "left_semi")
+    tokens = _tokens(own, "id", "digest")
+    cut = _windows(tokens, lengths or [window], "id", "digest").withColumn("key", _hash(F.col("at")))
     said = F.slice("words", F.col("at") + 1, F.col("n"))
+    if small:
+        known, totals = F.broadcast(known), F.broadcast(totals)
+    else:
+        # Rows that are shuffled hold a window's words, not the document's.
+        cut = cut.select("id", "digest", "n", "at", "key", said.alias("said"))
+        said = F.col("said")
+    found = cut.join(known.drop("rarest"), (F.col("key") == F.col("h")) & (F.col("n") == F.col("known_n")))
     slots = F.filter(
         F.zip_with("asked", said, lambda a, b: F.struct(a.alias("asked"), b.alias("said"))),
         lambda s: F.substring(s["asked"], 1, 1).isin(NUMBER, NAME, UNIT),
