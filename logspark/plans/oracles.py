@@ -448,6 +448,7 @@ ORACLES: dict[str, str] = {
         SELECT unit AS file, usable_lines, bad_lines, FALSE AS failed,
           bad_lines < 100 AND usable_lines > 0 AS kept FROM counts
         UNION ALL SELECT 'damaged', 0, 0, TRUE, FALSE""",
+    "hidden_below_wildcards": over_lines("SELECT value FROM lines, generate_series(1, 3)"),
     "hidden_paths": over_lines("SELECT value FROM lines, generate_series(1, 2)"),
     "single_file_stripped": over_entries(
         f"SELECT {FIELD_LIST} FROM entries", value=NO_COLOR.format(v="value")

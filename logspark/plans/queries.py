@@ -808,6 +808,17 @@ def dropped_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def hidden_below_wildcards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same below roots with wildcards, in folders and named by the wildcard itself."""
+    folder = scratch_path(spark, "wild")
+    lines = sample_lines(spark, sf_dir)
+    for place, kind in (("a-1/_b/c", "log"), ("a-2", "underscore"), ("a-3/.d", "log"), ("e", "underscore"), ("f/g", "dot")):
+        write_files(lines, f"{folder}/{place}", kind)
+    roots = [f"{folder}/a-[1-3]", f"{folder}/{{e,f}}/*"]
+    return read_tree(spark, roots, selection=FileSelection(include=["*.log"])).select("value")
+
+
 @query
 def hidden_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Names starting with an underscore are read, those starting with a dot are not."""

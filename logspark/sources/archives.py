@@ -19,14 +19,14 @@ from functools import reduce
 from itertools import islice
 
 import pyarrow as pa
-from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logspark.functions.patterns import glob_matches, glob_matches_any
 from logspark.operators.joins import BROADCAST_BYTES, anti_join, key_bytes, salted_anti_join
 from logspark.session import cut_lineage, scratch_path, ship_package, spread
-from logspark.sources.files import locate, open_file
+from logspark.sources.files import open_file
+from logspark.sources.listing import underscored_files
 from logspark.sources.lines import (
     ARCHIVE_GLOBS,
     GZIP_GLOBS,
@@ -388,29 +388,6 @@ def _listing(spark: SparkSession, roots: list[str], globs: Iterable[str]) -> Dat
     )
 
 
-def _underscored(roots: list[str]) -> list[tuple[str, int]]:
-    """Files that Spark's listing passes over for a name starting with ``_``, with their size.
-
-    Names starting with a dot stay out, as everywhere. Roots with wildcards are not looked
-    through.
-    """
-    found = []
-    for root in roots:
-        if any(c in root for c in "*?[{"):
-            continue
-        system, inner = locate(root)
-        scheme = "file:" if isinstance(system, fs.LocalFileSystem) else root.partition("://")[0] + "://"
-        listing = fs.FileSelector(inner, recursive=True, allow_not_found=True)
-        if system.get_file_info(inner).type != fs.FileType.Directory:
-            continue
-        for info in system.get_file_info(listing):
-            below = info.path[len(inner.rstrip("/")) + 1 :].split("/")
-            hidden = any(p.startswith("_") and "=" not in p for p in below)
-            if info.is_file and hidden and not any(p.startswith(".") for p in below):
-                found.append((scheme + info.path, info.size))
-    return found
-
-
 def read_underscored(
     spark: SparkSession,
     paths: str | Iterable[str],
@@ -431,12 +408,14 @@ def read_underscored(
     cores = spark.sparkContext.defaultParallelism
     packed = "|".join(g[1:].replace(".", "[.]") for g in (*ARCHIVE_GLOBS, *STREAM_GLOBS, *GZIP_GLOBS))
 
-    def read(files: list[tuple[str, int]], roots: list[str]) -> DataFrame:
-        listed = spark.createDataFrame(files, "path string, size bigint")
+    def read(listed: DataFrame, roots: list[str]) -> DataFrame | None:
         name = F.element_at(F.split("path", "/"), -1)
         archive = glob_matches_any(name, ARCHIVE_GLOBS)
         listed = listed.where(archive | chosen.name_filter(name))
-        listed = listed.where(chosen.directory_filter(F.col("path"), roots))
+        listed = cut_lineage(listed.where(chosen.directory_filter(F.col("path"), roots)))
+        size = listed.agg(F.sum("size")).first()[0]
+        if size is None:
+            return None
         streamed = name.rlike(f"(?:{packed})\\z")
         whole = listed.where(streamed).select("path").repartition(cores)
         lo = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("size") - 1, F.lit(piece_bytes).cast("bigint")))
@@ -451,17 +430,16 @@ def read_underscored(
             F.least("size", F.col("lo") + piece_bytes).alias("hi"),
             F.lit(False).alias("nested"),
             F.lit(None).cast("string").alias("read_error"),
-        ).repartition(tar_tasks(sum(size for _, size in files), cores, piece_bytes))
+        ).repartition(tar_tasks(size, cores, piece_bytes))
         return whole.mapInArrow(_read_stream_files(name_ok, fail, fail_file), LINE_SCHEMA).unionByName(
             pieces.mapInArrow(_read_pieces(name_ok, fail, fail_file), LINE_SCHEMA)
         )
 
-    groups = [(_underscored(group), group) for group in disjoint_groups(_as_list(paths))]
-    tables = [
-        read(files, roots).withColumn("stream", F.concat(F.lit(f"{n}:"), F.coalesce("stream", F.lit(""))))
-        for n, (files, roots) in enumerate(groups)
-        if files
-    ]
+    tables = []
+    for n, roots in enumerate(disjoint_groups(_as_list(paths))):
+        lines = read(underscored_files(spark, roots), roots)
+        if lines is not None:
+            tables.append(lines.withColumn("stream", F.concat(F.lit(f"{n}:"), F.coalesce("stream", F.lit("")))))
     if not tables:
         return None
     return reduce(DataFrame.unionByName, tables).withColumn("value", F.col("value").cast("string"))
