@@ -4,7 +4,8 @@ Spark lists the files and packs them into tasks by size; inside a task one file
 the other is streamed through the matching decompressor and leaves as Arrow batches,
 so memory does not grow with file size. An uncompressed tar is first indexed by
 seeking from header to header, and its members (large ones in pieces) are then spread
-over all tasks; compressed tars can only be read from the front, by one task each.
+over all tasks; compressed tars can only be read from the front, by one task each. Xz files
+of several blocks are cut at these.
 """
 
 from __future__ import annotations
@@ -19,12 +20,13 @@ from functools import reduce
 from itertools import islice
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logspark.functions.patterns import glob_matches, glob_matches_any
 from logspark.operators.joins import BROADCAST_BYTES, anti_join, key_bytes, salted_anti_join
 from logspark.session import cut_lineage, scratch_path, ship_package, spread
+from logspark.sources import xz_blocks
 from logspark.sources.files import open_file
 from logspark.sources.listing import underscored_files
 from logspark.sources.lines import (
@@ -58,6 +60,9 @@ CHUNK = 1 << 20
 PIECE_BYTES = 64 * CHUNK
 DEAL_OUT_BYTES = 256 * CHUNK
 
+# Tasks that the pieces of xz files are dealt out to, at most.
+MOST_TASKS = 50_000
+
 # ``stream`` holds where the member stands in its archive (in each archive around it):
 # names can repeat in one archive, and each member is judged by itself.
 LINE_SCHEMA = (
@@ -369,6 +374,59 @@ def _read_pieces(name_ok: Callable[[str], bool], fail: bool, fail_file: bool):
     return read
 
 
+def _index_xz(piece_bytes: int):
+    """Task body: xz files as runs of blocks; one row without numbers for a file to be read whole."""
+    def rows(path: str) -> Iterator[dict]:
+        try:
+            with open_file(path) as raw:
+                runs = list(xz_blocks.pieces(xz_blocks.blocks_of(raw, raw.size()), piece_bytes))
+        except _ERRORS as e:
+            if not (is_damage(e) or _is_closed(e)):
+                raise
+            runs = []
+        if len(runs) < 2:  # or broken: reading from the front tells how far it is sound
+            runs = [(None, None)]
+        for first, last in runs:
+            yield {"path": path, "first": first, "last": last}
+
+    schema = pa.schema([("path", pa.string()), ("first", pa.int64()), ("last", pa.int64())])
+
+    def index(batches: Batches) -> Batches:
+        for batch in batches:
+            for path in batch.column("path").to_pylist():
+                found = rows(path)
+                while part := list(islice(found, 10_000)):
+                    yield pa.RecordBatch.from_pylist(part, schema=schema)
+
+    return index
+
+
+def _read_blocks(fail: bool):
+    """Task body: lines of runs of xz blocks; a fault anywhere leaves an error row for the file."""
+    def lines(path: str, first: int, last: int) -> Batches:
+        with open_file(path) as raw:
+            for found in xz_blocks.lines_of(raw, xz_blocks.blocks_of(raw, raw.size()), first, last):
+                n = len(found)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array([path] * n, pa.string()),
+                        pa.nulls(n, pa.string()),
+                        pa.nulls(n, pa.string()),
+                        pa.array([p for p, _ in found], pa.int64()),
+                        pa.array([v for _, v in found], pa.binary()),
+                        pa.nulls(n, pa.string()),
+                    ],
+                    schema=_ARROW,
+                )
+
+    def read(batches: Batches) -> Batches:
+        for batch in batches:
+            for row in batch.to_pylist():
+                yield from _guarded(lines(row["path"], row["first"], row["last"]), row["path"], None, None, fail)
+
+    return read
+
+
 def _name_test(selection: FileSelection) -> Callable[[str], bool]:
     wanted, exclude = selection.wanted, tuple(selection.exclude)
 
@@ -445,6 +503,13 @@ def read_underscored(
     return reduce(DataFrame.unionByName, tables).withColumn("value", F.col("value").cast("string"))
 
 
+def _sizes(files: DataFrame, cut: Column):
+    """What the plan for some files depends on."""
+    return files.agg(
+        F.max("length").alias("largest"), F.sum("length").alias("all"), F.count("*").alias("n"), F.count_if(cut).alias("cut")
+    ).first()
+
+
 def tar_tasks(size: int, cores: int, piece_bytes: int = PIECE_BYTES) -> int:
     """Tasks for so many bytes of tar: one for each two pieces, or one for each core."""
     return max(cores, size // (2 * piece_bytes))
@@ -471,7 +536,9 @@ def read_streamed(
     the same way. Other broken files fail the query with ``on_file_error="fail"``. Only
     damage counts; a fault of the connection or store fails the task, and Spark tries it
     again. ``gzip_files`` reads plain gzip files here as well, for the same
-    handling of faults. If the largest file that cannot be split has ``deal_out_bytes``
+    handling of faults. An xz file of several blocks is read by tasks of at least
+    ``piece_bytes`` of text each, ``position`` then being a line's offset in it; others are
+    read from the front, where it is a line number. If the largest file that cannot be split has ``deal_out_bytes``
     or more, or there are fewer tasks than cores, the lines are dealt out evenly before
     they go on.
     """
@@ -492,13 +559,23 @@ def read_streamed(
         globs += GZIP_GLOBS
 
     def whole_files(roots: list[str]) -> DataFrame:
-        files = _listing(spark, roots, globs)
+        files = _listing(spark, roots, globs).select("path", "length")
         files = files.where(archive_name | wanted if archives else wanted)
         files = files.where(chosen.directory_filter(F.col("path"), roots))
+        # Xz files worth an index, which is at their end; text packs to a tenth or less at times.
+        cut = name.rlike(r"(?<!\.tar)\.xz\z") & (F.col("length") >= piece_bytes // 16)
+        indexed = files.where(cut).select("path").mapInArrow(_index_xz(piece_bytes), "path string, first bigint, last bigint")
+        sizes = _sizes(files, cut)
+        if not sizes["cut"]:
+            return from_the_front(files, sizes)
+        indexed = cut_lineage(indexed)
+        runs, whole = indexed.where(F.col("first").isNotNull()), indexed.where(F.col("first").isNull())
+        lines = runs.repartition(min(max(runs.count(), 1), MOST_TASKS)).mapInArrow(_read_blocks(fail_file), LINE_SCHEMA)
+        rest = files.where(~cut).unionByName(files.where(cut).join(whole.select("path"), "path", "left_semi"))
+        return lines.unionByName(from_the_front(rest, _sizes(rest, cut)))
+
+    def from_the_front(files: DataFrame, size) -> DataFrame:
         lines = files.select("path").mapInArrow(_read_stream_files(name_ok, fail, fail_file), LINE_SCHEMA)
-        size = files.agg(
-            F.max("length").alias("largest"), F.sum("length").alias("all"), F.count("*").alias("n")
-        ).first()
         if (size["largest"] or 0) >= deal_out_bytes:
             return lines.repartition(max(cores, size["all"] // PIECE_BYTES))
         return spread(lines, size["n"]) if (size["all"] or 0) > CHUNK else lines
