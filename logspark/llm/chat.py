@@ -26,8 +26,12 @@ from logspark.session import ship_package
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # How the byte-level vocabulary parts text before merging (fixed by the vocabulary).
 _PARTS = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-# Longer texts are encoded in pieces: the pattern above backtracks over long white space.
+# Longer texts are encoded in pieces of about this length, cut where the pattern surely parts
+# them: no match goes on from a character into white space. The ids stay those of the whole.
 _PIECE = 100_000
+_SURE_END = re.compile(r"\S(?=[ \n])")
+# Only a run of white space as long as a piece is cut anywhere: the pattern cannot match it.
+_LONG_BLANKS = re.compile(rf"\s{{{_PIECE},}}")
 _BLOCK_CHARS = 1 << 20
 
 
@@ -68,6 +72,18 @@ class Template:
         return self._escaped.sub(lambda m: m[0][0] + m[0][2:], text)
 
 
+def _pieces(text: str) -> Iterator[str]:
+    at = 0
+    while at < len(text):
+        sure = _SURE_END.search(text, at + _PIECE - 1)
+        piece = text[at : sure.end() if sure else len(text)]
+        at += len(piece)
+        if _LONG_BLANKS.search(piece):
+            yield from (piece[i : i + _PIECE] for i in range(0, len(piece), _PIECE))
+        else:
+            yield piece
+
+
 class Codec:
     """A byte-level vocabulary with the marks of a template as reserved ids above it."""
 
@@ -86,8 +102,7 @@ class Codec:
     def encode(self, text: str) -> list[int]:
         if len(text) <= _PIECE:
             return self._encoding_of_text(text)
-        pieces = (text[i : i + _PIECE] for i in range(0, len(text), _PIECE))
-        return [token for piece in pieces for token in self._encoding_of_text(piece)]
+        return [token for piece in _pieces(text) for token in self._encoding_of_text(piece)]
 
     def decode(self, ids: np.ndarray) -> str:
         return self._encoding.decode_bytes(ids.tolist()).decode("utf-8")

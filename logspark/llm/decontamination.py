@@ -26,7 +26,7 @@ WINDOW = 8
 MIN_SHARE = 0.5
 # Words by which windows of one occurrence may be out of place: put in, left out, replaced by more or fewer.
 BAND = 8
-# An item with fewer words that are no placeholders cannot be told from chance.
+# An item with fewer words that are no placeholders cannot be told from chance inside a text.
 MIN_LITERALS = 5
 # Bytes of the benchmark's windows up to which they are broadcast.
 BROADCAST_BYTES = 64 << 20
@@ -183,11 +183,13 @@ def find_contamination(
     reported. ``digest`` hashes the document's text, as ids may repeat. Items shorter than
     ``window`` are one window. Items are searched by their plain words, and by templates in
     which a capital that begins a sentence is a name and in which it is none, each only with
-    ``MIN_LITERALS`` words beside placeholders. NULL and empty texts match nothing. Windows of which less than half are
+    ``MIN_LITERALS`` words beside placeholders. Items that have fewer words in all are found
+    where they are a document's whole words. NULL and empty texts match nothing. Windows of which less than half are
     such words are not searched. Repeated rows are reported once. Other columns are
     ignored; empty tables give no rows.
     """
-    items = _tokens(benchmark.select(F.col(item).alias("item"), F.col(item_text).alias("text")), "item")
+    given = benchmark.select(F.col(item).alias("item"), F.col(item_text).alias("text"))
+    items = _tokens(given, "item")
     literal = F.size(F.filter("template", lambda x: ~x.isin(NUMBER, NAME, UNIT)))
     items = (
         items.withColumn("item", F.min("item").over(Window.partitionBy("same")))
@@ -261,7 +263,7 @@ def find_contamination(
     asked = F.transform("slots", lambda s: s["asked"])
     consistent = F.size(F.array_distinct(asked)) == F.size("slots")
     same = F.forall("slots", lambda s: s["asked"] == s["said"])
-    return (
+    inside = (
         aligned.where(consistent)
         .groupBy("id", "digest", "same", "item")
         # The reading of the largest share says the kind.
@@ -271,3 +273,23 @@ def find_contamination(
             F.when(F.col("best.copy"), "copy").otherwise("reparameterised").alias("kind"),
         )
     )
+    short = _short_items(given)
+    return inside if short.isEmpty() else inside.unionByName(_whole_texts(documents, short, id, text))
+
+
+def _plain_words(text: Column | str) -> Column:
+    return F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{M}\p{N}]+", " "))
+
+
+def _short_items(given: DataFrame) -> DataFrame:
+    """Items of fewer than ``MIN_LITERALS`` words: ``asked``, and the least ``item`` of those with equal ones."""
+    told = given.select("item", _plain_words("text").alias("asked")).where("asked <> ''")
+    told = told.where(F.size(F.split("asked", " ")) < MIN_LITERALS)
+    return staged(told.groupBy("asked").agg(F.min("item").alias("item")), "short-items")
+
+
+def _whole_texts(documents: DataFrame, short: DataFrame, id: str, text: str) -> DataFrame:
+    """Documents whose words are those of a short item."""
+    own = documents.select(F.col(id).alias("id"), F.xxhash64(F.col(text)).alias("digest"), _plain_words(F.col(text)).alias("said"))
+    found = own.join(short, F.col("said") == F.col("asked")).select("id", "digest", "item").distinct()
+    return found.select("*", F.lit(1.0).alias("share"), F.lit("copy").alias("kind"))

@@ -29,8 +29,10 @@ SMOOTHING = 0.5
 MAX_TRAINING_DOCUMENTS = 200_000
 # Bounds the table that is broadcast.
 MAX_LANGUAGES = 256
-# Characters scored at once; longer texts are counted in pieces of this length.
+# Characters scored at once; longer texts are counted in pieces of about this length.
 _PIECE = 1 << 18
+# Characters before a piece of a text that its first n-grams begin in.
+_CARRIED = 64
 
 
 @lru_cache(maxsize=1)
@@ -42,23 +44,38 @@ def _character_tables() -> tuple[np.ndarray, np.ndarray]:
     return letters, lower
 
 
-def _pieces(texts: Sequence[str | None]) -> Iterator[tuple[list[int], list[str]]]:
+def _cut(text: str) -> Iterator[tuple[str, int]]:
+    """A text in pieces that end behind a word, and how much of each was in the one before.
+
+    What is carried over ends with a letter and what follows it, which is all that n-grams
+    of three characters can reach back to; those that end in it are counted once.
+    """
+    start, carried = 0, 0
+    while start < len(text):
+        end = start + _PIECE
+        while end < len(text) and not (text[end - 2].isalpha() and not text[end - 1].isalpha()):
+            end += 1
+        yield text[start - carried : end], carried
+        start, carried = end, min(_CARRIED, end)
+
+
+def _pieces(texts: Sequence[str | None]) -> Iterator[tuple[list[int], list[str], list[int]]]:
     """Lists of texts, long ones cut, of some ``_PIECE`` characters together."""
-    rows, parts, size = [], [], 0
+    rows, parts, heads, size = [], [], [], 0
     for row, text in enumerate(texts):
-        for start in range(0, len(text or ""), _PIECE):
-            part = text[start : start + _PIECE]
+        for part, carried in _cut(text or ""):
             rows.append(row)
             parts.append(part)
+            heads.append(carried)
             size += len(part)
             if size >= _PIECE:
-                yield rows, parts
-                rows, parts, size = [], [], 0
+                yield rows, parts, heads
+                rows, parts, heads, size = [], [], [], 0
     if rows:
-        yield rows, parts
+        yield rows, parts, heads
 
 
-def _grams(rows: list[int], parts: list[str], orders: Sequence[int], buckets: int):
+def _grams(rows: list[int], parts: list[str], heads: list[int], orders: Sequence[int], buckets: int):
     """For each order, rows and buckets of all n-grams; and the rows that have a letter.
 
     Letters are lower-cased, everything between two words counts as one space.
@@ -66,13 +83,15 @@ def _grams(rows: list[int], parts: list[str], orders: Sequence[int], buckets: in
     letters, lower = _character_tables()
     text = " ".join(parts) + " "
     points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-    owner = np.repeat(np.array(rows), [len(p) + 1 for p in parts])
+    lengths = np.array([len(p) + 1 for p in parts])
+    owner, part = np.repeat(np.array(rows), lengths), np.repeat(np.arange(len(parts)), lengths)
+    carried = np.arange(len(owner)) - np.repeat(np.cumsum(lengths) - lengths, lengths) < np.repeat(np.array(heads), lengths)
     letter = letters[points]
     keep = letter.copy()
     keep[1:] |= letter[:-1]
     with_letter = np.unique(owner[letter])
     points = np.where(letter, lower[points], np.uint32(32))[keep]
-    owner = owner[keep]
+    owner, part, carried = owner[keep], part[keep], carried[keep]
     found = []
     for order in orders:
         if len(points) < order:
@@ -83,7 +102,7 @@ def _grams(rows: list[int], parts: list[str], orders: Sequence[int], buckets: in
             mixed = mixed * np.uint32(0x01000193) + points[i : i + n]
         mixed *= np.uint32(0x9E3779B1)
         mixed ^= mixed >> np.uint32(15)
-        whole = owner[:n] == owner[order - 1 :]
+        whole = (part[:n] == part[order - 1 :]) & ~carried[order - 1 :]
         found.append((owner[:n][whole], (mixed % np.uint32(buckets))[whole]))
     return found, with_letter
 
@@ -91,8 +110,8 @@ def _grams(rows: list[int], parts: list[str], orders: Sequence[int], buckets: in
 def count_grams(texts: Sequence[str | None], orders=ORDERS, buckets=BUCKETS) -> np.ndarray:
     """Counts of all n-grams of some texts together."""
     counts = np.zeros(buckets, np.int64)
-    for rows, parts in _pieces(texts):
-        for _, bucket in _grams(rows, parts, orders, buckets)[0]:
+    for rows, parts, heads in _pieces(texts):
+        for _, bucket in _grams(rows, parts, heads, orders, buckets)[0]:
             counts += np.bincount(bucket, minlength=buckets)
     return counts
 
@@ -112,8 +131,8 @@ class Model:
         known = np.zeros(len(texts), bool)
         if not self.languages:
             return [UNKNOWN] * len(texts), np.zeros(len(texts))
-        for rows, parts in _pieces(texts):
-            found, with_letter = _grams(rows, parts, self.orders, len(self.weights))
+        for rows, parts, heads in _pieces(texts):
+            found, with_letter = _grams(rows, parts, heads, self.orders, len(self.weights))
             known[with_letter] = True
             for owner, bucket in found:
                 if len(owner):
@@ -216,8 +235,8 @@ def identify_languages(documents: DataFrame, **options) -> DataFrame:
     Learns from the documents that are not held out and have an id, a text and a ``lang``.
     ``score`` is the posterior probability. Texts that are NULL or have no letter, and all
     texts if nothing could be learned, are ``und`` with score 0. Of languages with equal
-    scores the least name counts. Texts above 262,144 characters are scored in pieces of
-    that length, whose n-grams all count. Repeated rows come out as often as they go in;
+    scores the least name counts. Texts above 262,144 characters are scored in pieces that
+    end behind words; every n-gram counts once, across pieces too. Repeated rows come out as often as they go in;
     other columns are ignored; no rows give no rows.
     """
     model = fit(documents.where(~held_out(F.col("doc_id"))), **options)

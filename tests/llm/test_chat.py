@@ -1,4 +1,5 @@
 import hashlib
+import random
 
 import numpy as np
 import pytest
@@ -77,3 +78,14 @@ def test_round_trip(spark, block_chars):
 
 def test_no_rows(spark):
     assert chat_digests(format_chats(conversations(spark, []))).collect() == []
+
+
+def test_long_texts_have_the_ids_of_the_whole():
+    coder = codec(TOKENIZER, Template())
+    rng = random.Random(6)
+    parts = ["word", "Wörter", " ", "  ", "\n", "\n\n ", "12", "it's", "!?", "\t", "日本語", "x" * 50_000, " " * 500, "\x1c", "\xa0", "\u3000"]
+    for _ in range(20):
+        text = "".join(rng.choice(parts) for _ in range(rng.randrange(2_000, 60_000)))[:400_000]
+        assert coder.encode(text) == coder._encoding_of_text(text)
+    for text in (" " * 300_000, "a" + "\n" * 250_000 + "b", "!" * 250_000):
+        assert coder.decode(np.array(coder.encode(text))) == text

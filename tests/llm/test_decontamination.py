@@ -82,3 +82,9 @@ def test_names_at_sentence_starts_and_case(spark):
         (103, f"we read: {slots} there", "en", "a"),
     ]
     assert found(spark, docs, items) == [(100, 1, "reparameterised"), (101, 2, "copy"), (102, 2, "copy"), (103, 3, "copy")]
+
+
+def test_short_items_are_found_as_whole_texts(spark):
+    items = [(4, "Who was  Ada?", None, None), (2, "who was ada", None, None), (3, "2 + 2", None, None), (5, "!?", None, None)]
+    docs = [(100, "WHO was\nAda", "en", "a"), (101, "and who was Ada", "en", "a"), (102, "2+2=", "en", "a"), (103, "!?", "en", "a"), (104, "", "en", "a"), (105, None, "en", "a")]
+    assert found(spark, docs, items) == [(100, 2, "copy"), (102, 3, "copy")]

@@ -3,6 +3,7 @@ import zlib
 import numpy as np
 
 import rows
+from logspark.llm import language
 from logspark.llm.language import BUCKETS, count_grams, fit, identify_languages, with_language
 
 EN = "the house and the garden were quiet in the evening "
@@ -54,3 +55,12 @@ def test_sample_bound(spark):
     data = [(i, (EN, DE)[i % 2], ("en", "de")[i % 2], "s") for i in range(200)]
     model = fit(rows.documents(spark, data), max_documents=60)
     assert set(with_language(rows.documents(spark, data), model, name="p").select("p.language").toPandas().language) == {"en", "de"}
+
+
+def test_pieces_lose_no_ngram(monkeypatch):
+    text = "Straße, 12 the  -- quiet é " * 40 + "x" * 500 + "1" * 300 + " end of it"
+    whole = [count_grams([text], orders=(n,)) for n in (1, 2, 3)]
+    for piece in (3, 10, 64, 200):
+        monkeypatch.setattr(language, "_PIECE", piece)
+        for n, want in zip((1, 2, 3), whole):
+            assert (count_grams([text, "a", text], orders=(n,)) == 2 * want + count_grams(["a"], orders=(n,))).all()
