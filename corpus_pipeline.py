@@ -19,11 +19,21 @@ from logspark.llm.simhash import near_duplicates
 from logspark.llm.tables import packed, staged, table
 
 
+# Least posterior probability of the predicted language: it outweighs all others together.
+SURE = 0.5
+
+
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Without texts of no language: NULL and without a letter."""
+    """Without texts whose language is not told: NULL, without a letter, or with a score below ``SURE``.
+
+    If no row has a language to learn from, all texts with a letter stay.
+    """
     model = fit(docs.where(~held_out(F.col("doc_id"))))
+    if not model.languages:
+        return docs.where(F.col("text").rlike(r"\p{L}"))
     rows = with_language(packed(docs, F.col("text").alias("text")), model)
-    return rows.where(F.col("language.language") != UNKNOWN).select("row.*")
+    told = (F.col("language.language") != UNKNOWN) & (F.col("language.score") >= SURE)
+    return rows.where(told).select("row.*")
 
 
 def unrepeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -58,10 +68,19 @@ def uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of which the mix takes words, with ``size``, ``target`` and ``taken``."""
+    """Documents of which the mix takes words, with ``size``, ``source_size``, ``target`` and ``taken``.
+
+    A column of the documents that has such a name stays, and the mix's is called ``mix_size``
+    and so on, with ``mix_`` as often as it takes.
+    """
+    def free(name: str) -> str:
+        while name in docs.columns:
+            name = f"mix_{name}"
+        return name
+
     key = F.concat_ws(":", "doc_id", F.xxhash64("text")).alias("key")
     taken = mix(docs.select(key, "source", "text"), id="key").where("taken > 0")
-    added = [F.col(c).alias(f"mix_{c}" if c in docs.columns else c) for c in ("size", "source_size", "target", "taken")]
+    added = [F.col(c).alias(free(c)) for c in ("size", "source_size", "target", "taken")]
     once = staged(taken.select(F.col("id").alias("key"), F.struct(*added).alias("mix")), "taken")
     return packed(docs, key).join(once, "key").select("row.*", "mix.*")
 
