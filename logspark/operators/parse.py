@@ -56,16 +56,16 @@ def _steps(gateway: int, case_insensitive_keys: bool, keep_nonstring: bool) -> l
     texts = _any_case_texts() if case_insensitive_keys else _texts()
     return [
         (("value",), [deep]),
-        (_LINE, [sound]),
-        ((*_LINE, "sound"), [parsed]),
+        (("value", "deep"), [sound]),
+        (("value",), [F.col("deep.pieces"), (F.col("deep.depth") > entry.NESTING_LIMIT).alias("over"), parsed]),
         ((*_LINE, "line"), [wrapped]),
         *texts,
         *_entry_steps(keep_nonstring),
     ]
 
 
-# The line as it came, and its deep values.
-_LINE = ("value", "deep")
+# The line as it came, its deep values, and whether it is nested beyond the limit.
+_LINE = ("value", "pieces", "over")
 _KEYS = (*entry.SCALAR_KEYS, *entry.STRING_KEYS)
 _TEXTS = ("whole", *[f"t_{key}" for key in (*_KEYS, "data")], *[f"no_{key}" for key in (*_KEYS, "data")])
 
@@ -98,7 +98,7 @@ def _entry_steps(keep_nonstring: bool) -> list[Step]:
     kind = (
         F.when(
             ~F.coalesce(valid, F.lit(False)),
-            F.when(F.col("deep.depth") > entry.NESTING_LIMIT, F.lit("too_deep")).otherwise(F.lit("raw")),
+            F.when(F.col("over"), F.lit("too_deep")).otherwise(F.lit("raw")),
         )
         .when(timestamps.is_zero_time(sec, nanos), F.lit("no_timestamp"))
         .otherwise(F.lit("lager"))
@@ -139,7 +139,7 @@ def _entry_steps(keep_nonstring: bool) -> list[Step]:
             parsed(entry.first_text(F.col(f"t_{key}"), F.col(f"d_{key}"))).alias(key)
             for key in ("session", "error", "trace")
         ],
-        parsed(entry.with_pieces(entry.compact_json(F.col("rest")), F.col("value"), F.col("deep.pieces"))).alias("data"),
+        parsed(entry.with_pieces(entry.compact_json(F.col("rest")), F.col("value"), F.col("pieces"))).alias("data"),
         F.when(F.col("kind").isin(*UNPARSED_KINDS), F.col("value")).alias("raw"),
     ]
     return [
