@@ -1,13 +1,15 @@
 """Removal of repeated runs of lines by winnowing over line hashes.
 
-Of every window of ``run`` consecutive lines the line with the least hash is a
-fingerprint, so two equal windows always share one, at the same place in the window.
-Fingerprints that occur once in the corpus end the search for their windows. The others
-are joined by position: a window is extended from its fingerprint both ways to its whole
-content, and of all equal windows the first in document order stays. Lines of later ones
-go. A run of ``run`` lines or more is thus found wherever it begins, and no pair of
-occurrences is ever made: a run in a million documents costs a million rows. Runs of fewer
-lines count if they have ``words`` words; they are found in the same way, length by length.
+Of every window of ``run`` consecutive lines the first line with the least hash is a
+fingerprint, so two equal windows always choose one at the same place. Places of one
+fingerprint are kept once, however many windows chose it, and those whose hash stands at
+one place only end the search. The others are extended both ways, over the lines beside them,
+to the ends of the windows that chose them; of equal windows the first place in document order
+stays, and all others are joined to it. Lines of later windows go; where windows overlap or
+meet, whole runs go. A run of ``run`` lines or more is thus found wherever it begins, and no
+pair of occurrences is ever made: a run in a million documents costs a million rows. Runs of
+fewer lines count if they have ``words`` words; they are found in the same way, length by
+length.
 
 Only built-in functions are used.
 """
@@ -31,49 +33,70 @@ def _words(text: Column | str) -> Column:
     return F.regexp_count(text, F.lit(_WORD))
 
 
-def _windows(documents: DataFrame, run: int, words: int = 0) -> DataFrame:
-    """Windows of every document: ``at``, the fingerprint line, and hashes of both.
+def _fingerprints(documents: DataFrame, run: int, words: int = 0) -> DataFrame:
+    """Lines that are the first least one of some window of ``run`` lines, once each.
 
-    Only those of ``words`` words or more, if that is not 0.
+    ``at`` is the line, ``mark`` its hash, ``check`` a second one, ``near`` the hashes of the
+    ``run - 1`` lines on either side and its own, ``before`` how many lines each window that
+    chose it has before it. Only windows of ``words`` words or more choose, if that is not 0.
     """
-    # The one-row generator keeps the split from being done again for each window.
+    # The one-row generator keeps the split from being done again for each line. No lambda
+    # comes after the second one, so the arrays are not copied for each line.
     split = F.split("text", "\n", -1)
-    line = F.struct(F.transform(split, lambda x: F.xxhash64(x)).alias("hashes"), (F.transform(split, _words) if words else F.lit(None)).alias("words"))
+    line = F.struct(
+        F.transform(split, lambda x: F.xxhash64(x)).alias("hashes"),
+        (F.transform(split, lambda x: F.xxhash64(F.lit(1), x)) if run == 1 else F.lit(None)).alias("checks"),
+        (F.transform(split, _words) if words else F.lit(None)).alias("words"),
+    )
     lines = documents.select("id", "digest", F.explode(F.array(line)).alias("l")).select("id", "digest", "l.*")
     lines = lines.where(F.size("hashes") >= run)
-    window = F.slice("hashes", F.col("at") + 1, run)
-    each = lines.select("id", "digest", "hashes", "words", F.explode(F.sequence(F.lit(0), F.size("hashes") - run)).alias("at"))
-    if words:
-        each = each.where(sum((F.get("words", F.col("at") + i) for i in range(run)), F.lit(0)) >= words)
-    return each.select("id", "digest", "at", window.alias("window")).select(
+    each = lines.select("*", F.explode(F.sequence(F.lit(0), F.size("hashes") - 1)).alias("at"))
+    own = F.get("hashes", F.col("at"))
+
+    def chosen(before: int) -> Column:
+        first = F.col("at") - before
+        here = (first >= 0) & (first + run <= F.size("hashes"))
+        for i in range(run):
+            if i != before:
+                other = F.get("hashes", first + i)
+                here &= (own < other) if i < before else (own <= other)
+        if words:
+            here &= sum((F.get("words", first + i) for i in range(run)), F.lit(0)) >= words
+        return F.when(here, F.lit(before))
+
+    found = each.select(
         "id",
         "digest",
         F.col("at").cast("int").alias("at"),
-        F.array_min("window").alias("mark"),
-        # Two hashes: chance matches are out of the question at any size.
-        F.xxhash64("window").alias("left"),
-        F.xxhash64(F.lit(1), F.reverse("window")).alias("right"),
+        own.alias("mark"),
+        (F.get("checks", F.col("at")) if run == 1 else F.lit(0)).cast("long").alias("check"),
+        F.array(*[F.get("hashes", F.col("at") + i) for i in range(1 - run, run)]).alias("near"),
+        F.array_compact(F.array(*map(chosen, range(run)))).alias("before"),
     )
+    return found.where(F.size("before") > 0)
 
 
 def _later_windows(documents: DataFrame, run: int, words: int = 0) -> DataFrame:
     """``id``, ``digest``, ``at`` and ``run`` of windows that stand earlier too."""
     steps = Steps(documents.sparkSession)
-    windows = steps.write(_windows(documents, run, words), "windows")
-    # A filter only: overlapping windows of one place count apart.
-    marks = steps.write(windows.groupBy("mark").agg(F.count("*").alias("n")).where("n > 1").select("mark"), "marks")
-    place = F.struct(F.col("id").isNull().alias("last"), "id", "digest", "at")
-    first = (
-        windows.join(marks, "mark", "left_semi")
-        .groupBy("left", "right")
-        .agg(F.min(place).alias("first"), F.count("*").alias("n"))
-        .where("n > 1")
-        .select("left", "right", "first")
+    prints = steps.write(_fingerprints(documents, run, words), "fingerprints")
+    marks = steps.write(prints.groupBy("mark").agg(F.count("*").alias("n")).where("n > 1").select("mark"), "marks")
+    # From the shared line both ways, to the ends of each window that chose it.
+    each = prints.join(marks, "mark", "left_semi").select("*", F.explode("before").alias("lead"))
+    extended = F.slice("near", run - F.col("lead"), run)
+    windows = steps.write(
+        each.select(
+            "id", "digest", (F.col("at") - F.col("lead")).alias("at"), "mark", F.xxhash64("check", "lead", extended).alias("rest")
+        ),
+        "extended",
+        ["fingerprints", "marks"],
     )
-    first = steps.write(first, "runs", ["marks"])
-    later = windows.join(first, ["left", "right"]).where(place > F.col("first"))
+    place = F.struct(F.col("id").isNull().alias("last"), "id", "digest", "at")
+    first = windows.groupBy("mark", "rest").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1")
+    first = steps.write(first.select("mark", "rest", "first"), "runs")
+    later = windows.join(first, ["mark", "rest"]).where(place > F.col("first"))
     later = staged(later.select("id", "digest", "at", F.lit(run).alias("run")), "later")
-    steps.drop("windows", "runs")
+    steps.drop("extended", "runs")
     return later
 
 

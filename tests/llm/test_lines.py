@@ -1,7 +1,8 @@
 import random
 
+import pytest
 import rows
-from logspark.llm.line_dedup import deduplicate_lines
+from logspark.llm.line_dedup import _fingerprints, deduplicate_lines
 
 
 def brute(data, run=3):
@@ -41,6 +42,50 @@ def test_random_lines(spark):
     check(spark, data)
 
 
+def brute_words(data, run, words):
+    """Kept text of each (id, text), ids distinct; runs of fewer lines count from ``words`` words."""
+    order = sorted(range(len(data)), key=lambda i: data[i][0])
+    seen, kept, done = set(), [None] * len(data), {}
+    for i in order:
+        lines = data[i][1].split("\n")
+        short = len(lines) < run and len(data[i][1].split()) >= words
+        if short and data[i][1] in done:
+            kept[i] = done[data[i][1]]
+            continue
+        gone = set()
+        for n in range(1, run + 1):
+            for at in range(len(lines) - n + 1):
+                window = tuple(lines[at : at + n])
+                if n < run and len(" ".join(window).split()) < words:
+                    continue
+                if window in seen:
+                    gone.update(range(at, at + n))
+                seen.add(window)
+        kept[i] = "\n".join(x for at, x in enumerate(lines) if at not in gone)
+        if short:
+            done[data[i][1]] = kept[i]
+    return kept
+
+
+@pytest.mark.parametrize("run, words", [(3, 4), (3, 6), (2, 3), (5, 9), (1, 50)])
+def test_random_lines_of_words(spark, run, words):
+    rng = random.Random(run * 100 + words)
+    line = lambda: " ".join(rng.choice("abc") for _ in range(rng.randint(0, 4)))
+    data = [(i, "\n".join(line() for _ in range(rng.choice([1, 1, 2, 3, 8, 20]))), "en", "s") for i in range(80)]
+    rng.shuffle(data)
+    got = deduplicate_lines(rows.documents(spark, data), run=run, words=words).collect()
+    want = [(d[0], k) for d, k in zip(data, brute_words(data, run, words))]
+    assert sorted((r.doc_id, r.text) for r in got) == sorted(want)
+
+
+def test_fingerprints_are_places(spark):
+    """Half of all lines or so choose themselves; a line is one place however many windows chose it."""
+    docs = spark.createDataFrame([(1, "d", "\n".join(str(i) for i in range(300)))], "id int, digest string, text string")
+    found = _fingerprints(docs, 3).collect()
+    assert len({r.at for r in found}) == len(found) < 200
+    assert sorted(r.at - b for r in found for b in r.before) == list(range(298))
+
+
 def test_no_rows(spark):
     assert deduplicate_lines(rows.documents(spark, [])).collect() == []
 
