@@ -160,18 +160,26 @@ def deduplicate_lines(
         "gone",
         "copies",
     )
-    joined = keyed.join(
-        staged(rest, "removals"), F.col("id").eqNullSafe(F.col("i")) & (F.col("digest") == F.col("d")), "left"
-    ).drop("i", "d")
+    removals = staged(rest, "removals")
+    same = F.col("id").eqNullSafe(F.col("i")) & (F.col("digest") == F.col("d"))
+    joined = keyed.join(removals, same, "left").drop("i", "d")
     one = _without(joined.where("copies is null"), documents.columns, text, F.col("gone"))
-    # Rows with equal id and text: all lines of the later ones are repeats of the first.
+    # Rows with equal id and text: all lines of the later ones are repeats of the first. These
+    # texts are a table of their own, so its size on disk decides whether all rows are shuffled
+    # for them.
+    repeated = staged(removals.where("copies is not null"), "copied")
     hashed = [F.col("row")[c] for c, kind in documents.dtypes if c != text and "map<" not in kind]
-    number = F.row_number().over(Window.partitionBy("id", "digest").orderBy(F.xxhash64(F.lit(0), *hashed)))
-    many = joined.where("copies is not null").withColumn("number", number)
-    size = F.size("lines")
+    place = F.struct(F.xxhash64(F.lit(0), *hashed).alias("hash"), F.spark_partition_id().alias("part"))
+    many = staged(keyed.join(repeated, same).drop("i", "d").select("*", place.alias("place")), "copied-rows")
+    # The first is one of the rows of least hash that one task wrote, so a text in any number of
+    # rows is not brought together.
+    least = many.groupBy(F.col("id").alias("i"), F.col("digest").alias("d")).agg(F.min("place").alias("first"))
+    many = many.join(staged(least, "copied-first"), same).drop("i", "d")
+    ahead, size = F.col("place") == F.col("first"), F.size("lines")
+    number = F.row_number().over(Window.partitionBy("id", "digest").orderBy("place"))
     every = F.when(size >= run, F.sequence(F.lit(0), size - 1))
-    gone_here = F.when(F.col("number") == 1, F.col("gone")).otherwise(every)
-    return one.union(_without(many, documents.columns, text, gone_here))
+    many = many.where(ahead).withColumn("number", number).unionByName(many.where(~ahead).withColumn("number", F.lit(2)))
+    return one.union(_without(many, documents.columns, text, F.when(F.col("number") == 1, F.col("gone")).otherwise(every)))
 
 
 def _without(joined: DataFrame, columns: list[str], text: str, gone: Column) -> DataFrame:
