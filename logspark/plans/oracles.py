@@ -150,7 +150,11 @@ UNIQUE = f"SELECT DISTINCT {FIELD_LIST}, level_name FROM entries"
 GATE = """counts AS (SELECT unit, count(*) FILTER (kind = 'lager') AS usable_lines,
     count(*) FILTER (kind <> 'lager') AS bad_lines FROM parsed GROUP BY unit),
   kept AS (SELECT unit FROM counts WHERE bad_lines < 100 AND usable_lines > 0)"""
+BLOCK = """'block-' || event_id // 1200 || CASE WHEN event_id % 1200 < 600 THEN '-a.log'
+    WHEN event_id % 1200 < 900 THEN '-b.log' ELSE '-c.log' END"""
+BLOCKS = f"blocks AS (SELECT * REPLACE ({BLOCK} AS unit) FROM parsed), " + GATE.replace("parsed", "blocks")
 GATED = "SELECT * FROM parsed WHERE kind = 'lager' AND unit IN (SELECT unit FROM kept)"
+BLOCKS_GATED = GATED.replace("parsed", "blocks")
 REPORT = """report AS (SELECT unit AS file, count(*) AS total_lines,
     count(*) FILTER (kind = 'raw') AS error_lines,
     count(*) FILTER (kind = 'lager') AS valid_lines FROM parsed GROUP BY unit)"""
@@ -440,14 +444,15 @@ ORACLES: dict[str, str] = {
         WHERE node IN ('node-0.log', 'node-1.log', 'node-2.log', 'node-9.log')"""
     ),
     "damaged_files_dropped": ALL_LINES,
-    "combine_tree": f"""WITH {parsed()}, {GATE}, gated AS ({GATED})
+    "combine_tree": f"""WITH {parsed()}, {BLOCKS}, gated AS ({BLOCKS_GATED})
         SELECT DISTINCT {FIELD_LIST}, level_name FROM gated""",
-    "overlapping_roots": f"""WITH {parsed()}, {GATE}, gated AS ({GATED})
+    "overlapping_roots": f"""WITH {parsed()}, {BLOCKS}, gated AS ({BLOCKS_GATED})
         SELECT {FIELD_LIST} FROM gated, generate_series(1, 2)""",
-    "dropped_files": f"""WITH {parsed()}, {GATE}
+    "dropped_files": f"""WITH {parsed()}, {BLOCKS}
         SELECT unit AS file, usable_lines, bad_lines, FALSE AS failed,
           bad_lines < 100 AND usable_lines > 0 AS kept FROM counts
         UNION ALL SELECT 'damaged', 0, 0, TRUE, FALSE""",
+    "repeated_members": over_lines("SELECT 'logs/app.log' AS member, value FROM lines"),
     "hidden_below_wildcards": over_lines("SELECT value FROM lines, generate_series(1, 3)"),
     "hidden_paths": over_lines("SELECT value FROM lines, generate_series(1, 2)"),
     "single_file_stripped": over_entries(

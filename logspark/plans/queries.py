@@ -727,6 +727,14 @@ def tar_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archives.complete_files(lines).select("value")
 
 
+@query
+def repeated_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Archives whose members all have one name: each member is read."""
+    folder = _written(spark, sf_dir, "repeats")
+    lines = archives.read_streamed(spark, folder, selection=FileSelection())
+    return archives.complete_files(lines).select("member", "value")
+
+
 @query
 def default_log_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The default names leave the xz files out."""
@@ -764,9 +772,9 @@ def damaged_files_dropped(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _unit_files(spark: SparkSession, sf_dir: str, *codecs: str) -> str:
-    """Folder with the lines of each unit in one file per codec."""
+    """Folder with the lines of each block in one file per codec; all blocks are small."""
     folder = scratch_path(spark, "units")
-    lines = sample_lines(spark, sf_dir, "unit").withColumnRenamed("file", "unit").repartition("unit")
+    lines = sample_lines(spark, sf_dir, "block").withColumnRenamed("file", "unit").repartition("unit")
     for codec in codecs:
         lines.write.partitionBy("unit").option("compression", codec).text(f"{folder}/{codec}")
     return folder
@@ -794,18 +802,19 @@ def overlapping_roots(spark: SparkSession, sf_dir: str) -> DataFrame:
 def dropped_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the whole job says about every file it read, damaged ones included."""
     folder = _unit_files(spark, sf_dir, "none")
-    write_files(sample_lines(spark, sf_dir).coalesce(1), folder, "damaged")
+    write_files(sample_lines(spark, sf_dir), folder, "damaged")
     files = combine_job(
         spark, folder, selection=FileSelection(include=["part-*", "broken-*"])
     ).files
     damaged = F.contains("file", F.lit("/broken-"))
+    # However many damaged files there are, they make one row.
     return files.select(
         F.when(damaged, "damaged").otherwise(F.regexp_extract("file", "unit=([^/]+)", 1)).alias("file"),
         # How many lines come before a fault depends on the sizes of reads.
         *[F.when(damaged, F.lit(0)).otherwise(F.col(c)).alias(c) for c in ("usable_lines", "bad_lines")],
         F.col("read_error").isNotNull().alias("failed"),
         "kept",
-    )
+    ).distinct()
 
 
 @query

@@ -29,6 +29,7 @@ FILE_NAMES = {
     "tar": "bundle-{}.tar",
     "tgz": "bundle-{}.tgz",
     "nested": "outer-{}.tar",
+    "repeats": "again-{}.tar",
     "damaged": "broken-{}.log.1.gz",
     "underscore": "_app-{}.log",
     "dot": ".app-{}.log",
@@ -66,7 +67,7 @@ def write_files(lines: DataFrame, folder: str, kind: str) -> int:
                 out = stack.enter_context(gzip.GzipFile(fileobj=out, mode="wb"))
             elif kind == "xz":
                 out = stack.enter_context(lzma.LZMAFile(out, mode="wb"))
-            elif kind in ("tar", "tgz", "nested"):
+            elif kind in ("tar", "tgz", "nested", "repeats"):
                 mode = "w|gz" if kind == "tgz" else "w|"
                 out = stack.enter_context(tarfile.open(fileobj=out, mode=mode))
             for number, batch in enumerate(batches):
@@ -74,6 +75,9 @@ def write_files(lines: DataFrame, folder: str, kind: str) -> int:
                 count += batch.num_rows
                 if kind in ("tar", "tgz"):
                     _add(out, f"logs/part-{number}.log", body)
+                elif kind == "repeats":  # one name for all members
+                    for first in range(0, batch.num_rows, 1000):
+                        _add(out, "logs/app.log", _text(batch.slice(first, 1000)))
                 elif kind == "nested":
                     _add(out, f"inner-{number}.tgz", _inner_tar("deep/x.log", body))
                 else:

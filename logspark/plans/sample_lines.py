@@ -52,6 +52,13 @@ def event_parts(ev: DataFrame) -> DataFrame:
                 "unit": F.concat(
                     F.lit("unit-"), F.length(F.bin(event % 1024)).cast("string"), F.lit(".log")
                 ),
+                # Files of a fixed number of events, so there are more of them in a larger table;
+                # one in three is longer, with more bad lines than a file may have.
+                "block": F.concat(
+                    F.lit("block-"),
+                    F.expr("event_id div 1200").cast("string"),
+                    F.when(event % 1200 < 600, F.lit("-a.log")).when(event % 1200 < 900, F.lit("-b.log")).otherwise(F.lit("-c.log")),
+                ),
                 "epoch": F.concat(F.col("sec").cast("string"), F.lit("."), "frac", F.lit("000")),
                 "rfc": F.concat(
                     F.translate("clock", " ", "T"), F.lit("."), "frac", F.lit("Z")
