@@ -52,9 +52,9 @@ _OPTIONS = {
 MAX_DEPTH = 500
 # Fixed value: nesting from which on a line is no JSON at all.
 NESTING_LIMIT = 10_000
-# Strings, brackets, and what is between them; Java matches these without recursion.
+# Strings, and what lies between two brackets; Java matches these without recursion.
 _STRING = r'(?s:"[^"\\]*+(?:\\.[^"\\]*+)*+"?)'
-_TOKENS = _STRING + r'|[\[\]{}]|[^"\[\]{}]++'
+_BETWEEN = rf'(?:{_STRING}|[^"\[\]{{}}]++)'
 # Brackets around a member of ``data``: the line's and its own.
 _MEMBER_LEVEL = 2
 
@@ -82,66 +82,78 @@ def _let(value: Column, body) -> Column:
 def deep_parts(line: Column) -> Column:
     """For JSON candidates nested beyond :data:`MAX_DEPTH` how to read them; NULL for others.
 
-    Running sums over the brackets outside strings give the depth at each: ``depth`` is the
-    largest, and ``closed`` says that all are closed. Members of ``data`` (and other values at
-    their level) that reach too deep are cut out of the line: ``pieces`` are their texts, and
-    ``shallow`` has an array with one marker in their places, so that no type that matters
-    changes. Short lines and lines of few brackets are settled at once.
+    Running sums over the runs of brackets outside strings that open or close give the depth
+    after each: ``depth`` is the largest, and ``closed`` says that all are closed. Members of
+    ``data`` (and other values at their level) that reach too deep are cut out of the line:
+    ``pieces`` are their texts, and ``shallow`` has an array with one marker in their places, so
+    that no type that matters changes. Short lines and lines of few brackets are settled at once,
+    and only lines that are too deep are taken apart.
     """
-    openers = F.length(line) - F.length(F.translate(line, "[{", ""))
-    suspect = (F.octet_length(line) > 2 * MAX_DEPTH) & (openers > MAX_DEPTH) & _worth_parsing(line)
+    many = line.rlike(rf"^(?:[^\[{{]*+[\[{{]){{{MAX_DEPTH + 1}}}+")
+    suspect = (F.octet_length(line) > 2 * MAX_DEPTH) & many & _worth_parsing(line)
     span = "array<struct<first:int,last:int>>"
     start = F.struct(
         F.lit(0).alias("at"), F.lit(0).alias("open"), F.lit(0).alias("most"), F.lit(0).alias("first"),
         F.lit(0).alias("inside"), F.expr(f"CAST(array() AS {span})").alias("spans"),
     )
 
-    def step(sums: Column, token: Column) -> Column:
-        at = sums["at"] + 1
-        opens, closes = token.isin("[", "{"), token.isin("]", "}")
-        opened = sums["open"] + F.when(opens, 1).when(closes, -1).otherwise(0)
-        begins = opens & (opened == _MEMBER_LEVEL + 1)
-        inside = F.when(begins, opened).otherwise(F.greatest(sums["inside"], opened))
-        ends = closes & (opened == _MEMBER_LEVEL) & (sums["inside"] > MAX_DEPTH)
-        found = F.array(F.struct(sums["first"].alias("first"), at.alias("last")))
+    def step(sums: Column, run: Column) -> Column:
+        """Sums after a run; ``at``, ``first`` and ``last`` count brackets."""
+        opens, before = F.left(run, F.lit(1)).isin("[", "{"), sums["open"]
+        after = before + F.when(opens, F.length(run)).otherwise(-F.length(run))
+        begins = opens & (before <= _MEMBER_LEVEL) & (after > _MEMBER_LEVEL)
+        ends = ~opens & (before > _MEMBER_LEVEL) & (after <= _MEMBER_LEVEL) & (sums["inside"] > MAX_DEPTH)
+        # Where the member level is left in this run, upwards or downwards.
+        edge = sums["at"] + F.when(opens, _MEMBER_LEVEL + 1 - before).otherwise(before - _MEMBER_LEVEL)
+        found = F.array(F.struct(sums["first"].alias("first"), edge.alias("last")))
         return F.struct(
-            at.alias("at"), opened.alias("open"), F.greatest(sums["most"], opened).alias("most"),
-            F.when(begins, at).otherwise(sums["first"]).alias("first"),
-            inside.alias("inside"),
+            (sums["at"] + F.length(run)).alias("at"), after.alias("open"), F.greatest(sums["most"], after).alias("most"),
+            F.when(begins, edge).otherwise(sums["first"]).alias("first"),
+            F.when(begins, after).otherwise(F.greatest(sums["inside"], after)).alias("inside"),
             F.when(ends, F.concat(sums["spans"], found)).otherwise(sums["spans"]).alias("spans"),
         )
 
-    def parts(tokens: Column) -> Column:
-        return _let(F.aggregate(tokens, start, step), lambda sums: cut(tokens, sums))
-
-    def cut(tokens: Column, sums: Column) -> Column:
-        def text(first: Column, last: Column) -> Column:
-            return F.array_join(F.slice(tokens, first, last - first + 1), "")
-
-        spans = sums["spans"]
-        shallow = F.aggregate(
-            F.sequence(F.lit(1), F.greatest(F.size(spans), F.lit(1))),
-            F.struct(F.lit(1).alias("next"), F.lit("").alias("text")),
-            lambda made, n: F.when(n > F.size(spans), made).otherwise(
-                F.struct(
-                    (F.get(spans, n - 1)["last"] + 1).alias("next"),
-                    F.concat(
-                        made["text"], text(made["next"], F.get(spans, n - 1)["first"] - 1), deep_marker(line, n)
-                    ).alias("text"),
-                )
-            ),
-            lambda made: F.concat(made["text"], text(made["next"], F.size(tokens))),
+    def head(text: Column, brackets: Column) -> Column:
+        """The text up to and with this many brackets."""
+        pattern = F.concat(F.lit(rf"^(?:{_BETWEEN}*+[\[\]{{}}]){{"), brackets.cast("string"), F.lit("}+"))
+        return F.call_function("regexp_extract", text, pattern, F.lit(0))
+
+    def rest(text: Column, head: Column) -> Column:
+        return F.substring(text, F.length(head) + 1, F.length(text))
+
+    def cut_span(made: Column, span: Column) -> Column:
+        def with_head(head_text: Column) -> Column:
+            kept = F.left(head_text, F.length(head_text) - 1)
+            begun = F.concat(F.right(head_text, F.lit(1)), rest(made["rest"], head_text))
+            return _let(F.struct(kept.alias("kept"), begun.alias("begun")), with_begun)
+
+        def with_begun(t: Column) -> Column:
+            piece = head(t["begun"], span["last"] - span["first"] + 1)
+            return _let(piece, lambda piece: F.struct(
+                span["last"].alias("at"),
+                rest(t["begun"], piece).alias("rest"),
+                F.concat(made["text"], t["kept"], deep_marker(line, F.size(made["pieces"]) + 1)).alias("text"),
+                F.concat(made["pieces"], F.array(piece)).alias("pieces"),
+            ))
+
+        return _let(head(made["rest"], span["first"] - made["at"]), with_head)
+
+    def cut(sums: Column) -> Column:
+        whole = F.struct(
+            F.lit(0).alias("at"), line.alias("rest"), F.lit("").alias("text"),
+            F.expr("CAST(array() AS array<string>)").alias("pieces"),
         )
-        return F.struct(
+        return _let(F.aggregate(sums["spans"], whole, cut_span), lambda made: F.struct(
             sums["most"].alias("depth"),
             (sums["open"] == 0).alias("closed"),
-            shallow.alias("shallow"),
-            F.transform(spans, lambda s: text(s["first"], s["last"])).alias("pieces"),
-        )
-
-    tokens = F.regexp_extract_all(line, F.lit(_TOKENS), F.lit(0))
-    found = F.when(suspect, _let(tokens, parts))
-    return F.when(found["depth"] > MAX_DEPTH, found)
+            F.concat(made["text"], made["rest"]).alias("shallow"),
+            made["pieces"].alias("pieces"),
+        ))
+
+    brackets = F.regexp_replace(line, f"{_BETWEEN}++", "")
+    runs = F.regexp_extract_all(brackets, F.lit(r"[\[{]++|[\]}]++"), F.lit(0))
+    sums = F.aggregate(runs, start, step)
+    return F.when(suspect, _let(sums, lambda sums: F.when(sums["most"] > MAX_DEPTH, cut(sums))))
 
 
 def deep_marker(line: Column, number: Column) -> Column:

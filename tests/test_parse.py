@@ -1,4 +1,5 @@
 import json
+import time
 
 import pytest
 from hypothesis import HealthCheck, given, settings
@@ -277,3 +278,21 @@ def test_deep_lines_count_as_failed(spark):
     table = spark.createDataFrame([("f", nested(11000)), ("f", nested(2))], "file string, value string")
     row = file_report(parse_lines(table)).first()
     assert (row.total_lines, row.error_lines, row.valid_lines) == (2, 1, 1)
+
+
+def seconds_to_parse(table):
+    began = time.perf_counter()
+    parse_lines(table).write.format("noop").mode("overwrite").save()
+    return time.perf_counter() - began
+
+
+@pytest.mark.parametrize("kind", ["array", "object"])
+def test_deep_lines_cost_what_their_text_costs(spark, kind):
+    """Not a step for each bracket: about as much as brackets in a string of the same length."""
+    depth = 9000
+    text = nested(depth, kind)
+    flat = '{"timestamp":"1700000000.5","source":"s","data":{"n":"' + "[{" * (len(text) // 2) + '"}}'
+    blanks = F.repeat(F.lit(" "), (F.col("id") % 3).cast("int"))
+    both = [spark.range(0, 480, numPartitions=4).select(F.concat(F.lit(t), blanks).alias("value")) for t in (text, flat)]
+    deep, quoted = (min(seconds_to_parse(table) for _ in range(3)) for table in both)
+    assert deep < 6 * quoted, (deep, quoted)
