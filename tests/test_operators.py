@@ -231,3 +231,14 @@ def test_session_helpers(spark):
     assert cut_lineage(spark.range(3)).count() == 3
     assert spread(spark.range(100).coalesce(1)).rdd.getNumPartitions() == 4
     assert spread(spark.range(0, 100, 1, 9), files=9).rdd.getNumPartitions() == 9
+
+
+def test_gate_counts_hash_lines_and_sort_only_files(spark):
+    rows = [("a", "lager", None), ("a", "raw", None), ("a", "raw", "E: 1"), ("a", None, "E: 2"), ("b", "lager", None), (None, "raw", None)]
+    entries = spark.createDataFrame(rows, "file string, kind string, read_error string")
+    counts = quality.gate_counts(entries)
+    got = {r.file: (r.usable_lines, r.bad_lines, r.failed, r.read_error) for r in counts.collect()}
+    assert got == {"a": (1, 1, True, "E: 2"), "b": (1, 0, False, None), None: (0, 1, False, None)}
+    # Below the lowest exchange stands what is done to every line.
+    plan = counts._jdf.queryExecution().executedPlan().toString()
+    assert "Sort" not in plan[plan.rindex("Exchange") :] and "HashAggregate" in plan[plan.rindex("Exchange") :]
