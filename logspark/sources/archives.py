@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from logspark.functions.patterns import glob_matches, glob_matches_any
 from logspark.operators.joins import BROADCAST_BYTES, anti_join, key_bytes, salted_anti_join
-from logspark.session import cut_lineage, scratch_path, ship_package, spread
+from logspark.session import cut_lineage, listing_in_few_tasks, scratch_path, ship_package, spread
 from logspark.sources import xz_blocks
 from logspark.sources.files import open_file
 from logspark.sources.listing import underscored_files
@@ -438,12 +438,13 @@ def _name_test(selection: FileSelection) -> Callable[[str], bool]:
 
 def _listing(spark: SparkSession, roots: list[str], globs: Iterable[str]) -> DataFrame:
     """Paths of matching files; only the listing is done, no content is read."""
-    return (
+    reader = (
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", "true")
         .option("pathGlobFilter", "{" + ",".join(globs) + "}")
-        .load(roots)
     )
+    with listing_in_few_tasks(spark):
+        return reader.load(roots)
 
 
 def read_underscored(

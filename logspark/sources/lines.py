@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from logspark.functions.patterns import glob_matches_any, glob_regex
 from logspark.functions.text import strip_color
+from logspark.session import listing_in_few_tasks
 
 # Names taken for logs when nothing else is asked for.
 DEFAULT_GLOBS = ("*.log", "*.log.*.gz")
@@ -109,7 +110,9 @@ def union_of_groups(read: Callable[[list[str]], DataFrame], roots: Iterable[str]
 
 def _decoded(column: str) -> Column:
     """A name from the file metadata, which comes percent-encoded."""
-    return F.url_decode(F.replace(F.col(column), F.lit("+"), F.lit("%2B")))
+    name = F.col(column)
+    # Asked of every line, and most names have nothing to decode.
+    return F.when(F.contains(name, F.lit("%")), F.url_decode(F.replace(name, F.lit("+"), F.lit("%2B")))).otherwise(name)
 
 
 def _as_list(paths: str | Iterable[str]) -> list[str]:
@@ -149,7 +152,8 @@ def read_lines(
     skip = list(skip)
 
     def read(roots: list[str]) -> DataFrame:
-        lines = reader.text(roots)
+        with listing_in_few_tasks(spark):
+            lines = reader.text(roots)
         if selection:
             lines = lines.where(selection.name_filter(name))
             if selection.exclude_dir:

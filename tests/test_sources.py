@@ -4,6 +4,7 @@ import io
 import lzma
 import os
 import tarfile
+import uuid
 
 import pytest
 from pyspark.sql import functions as F
@@ -379,3 +380,37 @@ def test_quality_report(spark, tmp_path):
         ("b.log", 10, 10.0),
         ("a.log", 5, 40.0),
     ]
+
+
+def tasks_of(spark, run):
+    """Number of tasks that a call starts."""
+    context, tracker, group = spark.sparkContext, spark.sparkContext.statusTracker(), uuid.uuid4().hex
+    context.setJobGroup(group, "")
+    try:
+        run()
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+    stages = [s for j in tracker.getJobIdsForGroup(group) for s in tracker.getJobInfo(j).stageIds]
+    return sum(tracker.getStageInfo(s).numTasks for s in stages)
+
+
+def test_folders_are_listed_by_few_tasks(spark, tmp_path):
+    for n in range(60):
+        put(tmp_path / f"unit={n}" / "a.log", b"x\n")
+    name = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+    before = spark.conf.get(name)
+    most = 8 * spark.sparkContext.defaultParallelism
+    assert 0 < tasks_of(spark, lambda: read_lines(spark, str(tmp_path))) <= most < 60
+    assert spark.conf.get(name) == before
+    assert read_lines(spark, str(tmp_path)).count() == 60
+
+
+def test_names_are_tested_by_one_pattern_each_for_what_is_read_and_skipped(spark, tmp_path):
+    names = ["part-1", "part-2.gz", "part-3.tar", "part 4+é%", "part-5.bz", "x", "part-6"]
+    for name in names:
+        put(tmp_path / "d" / name, b"x\n")
+    selection = FileSelection(include=["part*", "y"], exclude=["*-6", "*-7"])
+    lines = read_lines(spark, str(tmp_path), selection=selection, skip=["*.tar", "*.gz", "*.bz"])
+    assert {os.path.basename(r.file) for r in lines.collect()} == {"part-1", "part 4+é%"}
+    plan = lines._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("RLIKE") == 3
