@@ -28,7 +28,7 @@ from logspark.plans.sample_lines import (
     sample_lines,
 )
 from logspark.schema import FIELDS
-from logspark.session import scratch_path, spread
+from logspark.session import scratch_path, spread_table
 from logspark.sinks import text as sinks
 from logspark.sources import archives
 from logspark.sources.lines import FileSelection, read_lines, stream_lines
@@ -56,7 +56,7 @@ def entries(spark: SparkSession, sf_dir: str, file: str = "node") -> DataFrame:
 
 def document_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All lines of all documents, empty ones included."""
-    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "lang", "text"))
+    docs = spread_table(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "lang", "text"))
     return docs.select("doc_id", "lang", F.explode(F.split("text", "\n")).alias("value"))
 
 

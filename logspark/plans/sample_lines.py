@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logspark.session import spread
+from logspark.session import spread_table
 
 ESC = "\x1b"
 COLOR_ON = f"{ESC}[01;31m{ESC}[K"
@@ -18,7 +18,7 @@ COLOR_OFF = f"{ESC}[m{ESC}[K"
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spread(spark.read.parquet(f"{sf_dir}/events.parquet"))
+    return spread_table(spark.read.parquet(f"{sf_dir}/events.parquet"))
 
 
 def _micros() -> Column:

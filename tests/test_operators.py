@@ -7,6 +7,7 @@ from samples import line, lines_df
 
 from logspark.operators import combine, filters, quality
 from logspark.operators.parse import parse_lines, usable_entries
+from logspark.plans.sample_lines import events
 from logspark.schema import FIELDS
 from logspark.session import cut_lineage, scratch_path, shared_folder, spread
 
@@ -233,6 +234,16 @@ def test_session_helpers(spark):
     assert spread(spark.range(0, 100, 1, 9), files=9).rdd.getNumPartitions() == 9
 
 
+def test_more_rows_make_more_tasks_not_longer_ones(spark, tmp_path):
+    rows = spark.range(0, 410_000, 1, 2).withColumnRenamed("id", "event_id")
+    rows.write.parquet(f"{tmp_path}/events.parquet")
+    dealt = events(spark, str(tmp_path))
+    sizes = [r["count"] for r in dealt.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(sizes) == 410_000 and len(sizes) == 9 and max(sizes) <= 50_000
+    rows.limit(10).write.parquet(f"{tmp_path}/few/events.parquet")
+    assert events(spark, f"{tmp_path}/few").rdd.getNumPartitions() == 4
+
+
 def test_gate_counts_hash_lines_and_sort_only_files(spark):
     rows = [("a", "lager", None), ("a", "raw", None), ("a", "raw", "E: 1"), ("a", None, "E: 2"), ("b", "lager", None), (None, "raw", None)]
     entries = spark.createDataFrame(rows, "file string, kind string, read_error string")
