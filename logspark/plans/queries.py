@@ -18,7 +18,7 @@ from logspark.functions.patterns import glob_matches_any, matches, matches_any
 from logspark.operators import combine, filters, quality
 from logspark.operators.parse import parse_lines, usable_entries
 from logspark.plans.combine import combine_job, combine_logs, entries_of, read_tree
-from logspark.plans.sample_files import write_files
+from logspark.plans.sample_files import write_files, write_unit_files
 from logspark.plans.sample_lines import (
     COLOR_OFF,
     COLOR_ON,
@@ -774,9 +774,7 @@ def damaged_files_dropped(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _unit_files(spark: SparkSession, sf_dir: str, *codecs: str) -> str:
     """Folder with the lines of each block in one file per codec; all blocks are small."""
     folder = scratch_path(spark, "units")
-    lines = sample_lines(spark, sf_dir, "block").withColumnRenamed("file", "unit").repartition("unit")
-    for codec in codecs:
-        lines.write.partitionBy("unit").option("compression", codec).text(f"{folder}/{codec}")
+    write_unit_files(sample_lines(spark, sf_dir, "block").withColumnRenamed("file", "unit"), folder, *codecs)
     return folder
 
 

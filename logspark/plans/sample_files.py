@@ -1,8 +1,8 @@
 """Write derived log lines as the kinds of files the sources read.
 
 Each task writes its own partition, one Arrow batch at a time, into a folder all
-executors reach. File names follow from the partition number, so a task that runs
-again overwrites what it wrote before.
+executors reach. File names follow from the partition number or the unit, so a task that
+runs again overwrites what it wrote before.
 """
 
 from __future__ import annotations
@@ -13,10 +13,12 @@ import lzma
 import tarfile
 from collections.abc import Iterator
 from contextlib import ExitStack
+from itertools import groupby
 
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from logspark.session import ship_package
 from logspark.sources.files import locate
@@ -35,6 +37,11 @@ FILE_NAMES = {
     "dot": ".app-{}.log",
 }
 
+# Name of the file of a unit by codec.
+UNIT_FILE_NAMES = {"none": "part-0.txt", "gzip": "part-0.txt.gz"}
+# What Spark calls the folder of a NULL.
+NO_UNIT = "__HIVE_DEFAULT_PARTITION__"
+
 
 def _output(folder: str, name: str):
     system, inner = locate(folder)
@@ -89,5 +96,47 @@ def write_files(lines: DataFrame, folder: str, kind: str) -> int:
     return written.groupBy().sum("n").first()[0]
 
 
+def write_unit_files(lines: DataFrame, folder: str, *codecs: str) -> int:
+    """Write ``value`` lines as a text file for each ``unit`` and codec; gives the number of lines.
+
+    Files are ``codec/unit=.../part-0.txt`` below the folder. The lines of a unit meet in one
+    task, which sorts by unit and has the files of one unit open at a time. Spark's own writer
+    makes the same files, but on a local disk starts a process for each to set its permissions,
+    which takes many times as long as a small file itself.
+    """
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        count, current, outs = 0, None, []
+        with ExitStack() as stack:
+            for batch in batches:
+                first = 0
+                for unit, run in groupby(batch.column("unit").to_pylist()):
+                    if unit != current:
+                        stack.close()
+                        current = unit
+                        outs = [stack.enter_context(_unit_output(folder, codec, unit)) for codec in codecs]
+                    rows = sum(1 for _ in run)
+                    body = _text(batch.slice(first, rows))
+                    for out in outs:
+                        out.write(body)
+                    first += rows
+                count += first
+        yield pa.RecordBatch.from_pydict({"n": [count]})
+
+    ship_package(lines.sparkSession)
+    for codec in codecs:  # also if there are no lines
+        system, inner = locate(f"{folder}/{codec}")
+        system.create_dir(inner, recursive=True)
+    unit, value = F.coalesce("unit", F.lit(NO_UNIT)).alias("unit"), F.coalesce("value", F.lit("")).alias("value")
+    dealt = lines.select(unit, value).repartition("unit").sortWithinPartitions("unit")
+    return dealt.mapInArrow(write, "n bigint").groupBy().sum("n").first()[0] or 0
+
+
+def _unit_output(folder: str, codec: str, unit: str):
+    system, inner = locate(f"{folder}/{codec}/unit={unit}")
+    system.create_dir(inner, recursive=True)
+    packed = "gzip" if codec == "gzip" else None
+    return system.open_output_stream(f"{inner}/{UNIT_FILE_NAMES[codec]}", compression=packed)
+
+
 def _text(batch: pa.RecordBatch) -> bytes:
     return "".join(line + "\n" for line in batch.column("value").to_pylist()).encode()

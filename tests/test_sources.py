@@ -5,6 +5,7 @@ import lzma
 import os
 import tarfile
 import uuid
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -20,6 +21,7 @@ from logspark.plans.combine import (
     read_tree,
     staged,
 )
+from logspark.plans.sample_files import NO_UNIT, UNIT_FILE_NAMES, write_unit_files
 from logspark.sources import archives
 from logspark.sources.files import locate
 from logspark.sources.lines import FileSelection, read_lines
@@ -414,3 +416,36 @@ def test_names_are_tested_by_one_pattern_each_for_what_is_read_and_skipped(spark
     assert {os.path.basename(r.file) for r in lines.collect()} == {"part-1", "part 4+é%"}
     plan = lines._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("RLIKE") == 3
+
+
+def test_unit_files_are_one_small_file_each(spark, tmp_path):
+    """No committer's files and no checksums beside them; every line once for each codec."""
+    ids = spark.range(0, 30_000, 1, 5).withColumn("unit", F.concat(F.lit("u-"), (F.col("id") % 300).cast("string")))
+    odd = spark.createDataFrame([(None, "no unit"), ("u-7", None), (None, "again")], "unit string, value string")
+    lines = ids.select("unit", F.concat(F.lit("line "), "id").alias("value")).unionByName(odd)
+    folder = str(tmp_path / "units")
+    assert write_unit_files(lines, folder, "none", "gzip") == 30_003
+    expected = {f"{codec}/unit={unit}/{name}" for codec, name in UNIT_FILE_NAMES.items() for unit in [NO_UNIT, *(f"u-{i}" for i in range(300))]}
+    assert {str(p.relative_to(folder)) for p in (tmp_path / "units").rglob("*") if p.is_file()} == expected
+    unit = F.regexp_extract("file", "unit=([^/]+)", 1).alias("unit")
+    written = lines.where("value is not null").select(F.coalesce("unit", F.lit(NO_UNIT)).alias("unit"), "value")
+    for codec in ("none", "gzip"):
+        read = read_lines(spark, f"{folder}/{codec}").select(unit, "value")
+        assert read.count() == 30_002 and read.exceptAll(written).isEmpty()
+    assert write_unit_files(lines.limit(0), f"{folder}-empty", "none") == 0
+    assert read_lines(spark, f"{folder}-empty").isEmpty()
+
+
+def test_tree_query_writes_unit_files(spark, tmp_path, monkeypatch):
+    """The folder of combine_tree holds one file for each block and codec, and nothing beside."""
+    from logspark.plans import queries
+
+    rows = spark.sql(
+        "select id event_id, timestamp_ntz'2024-01-01 00:00:00' ts, id % 50 user_id, 'click' event_type, 1.5D value, '{}' props from range(3000)"
+    )
+    rows.write.parquet(f"{tmp_path}/events.parquet")
+    monkeypatch.setattr(queries, "scratch_path", lambda spark, name: f"{tmp_path}/{name}")
+    folder = queries._unit_files(spark, str(tmp_path), "none", "gzip")
+    found = sorted(p.name for p in Path(folder).rglob("*") if p.is_file())
+    # 3,000 events are two blocks of three files and a part of one that has one.
+    assert found == ["part-0.txt"] * 7 + ["part-0.txt.gz"] * 7
