@@ -28,8 +28,10 @@ MIN_SHARE = 0.5
 BAND = 8
 # An item with fewer words that are no placeholders cannot be told from chance inside a text.
 MIN_LITERALS = 5
-# Bytes of the benchmark's windows up to which they are broadcast.
+# Bytes of the benchmark's windows, and of the keys of documents looked at, up to which they are broadcast.
 BROADCAST_BYTES = 64 << 20
+# Bytes of a key in a broadcast table.
+_KEY_BYTES = 64
 # Between words of the first look at a document; the same around words of letters as in templates.
 _BETWEEN = r"[^\p{L}\p{M}\p{N}%°]+"
 _LETTERS = r"^[\p{L}\p{M}]+$"
@@ -163,6 +165,18 @@ def _worth_a_look(own: DataFrame, known: DataFrame, totals: DataFrame, min_share
     return staged(held.select("id", "digest").distinct(), "looked-at")
 
 
+def _only(own: DataFrame, looked: DataFrame) -> DataFrame:
+    """The documents of ``own`` that ``looked`` names.
+
+    Their texts stay where they are, as long as a table of the digests can be broadcast. A digest
+    is enough there, since equal texts are looked at alike.
+    """
+    if looked.count() * _KEY_BYTES <= BROADCAST_BYTES:
+        return own.join(F.broadcast(looked.select("digest")), "digest", "left_semi")
+    looked = looked.select(F.col("id").alias("i"), F.col("digest").alias("d"))
+    return own.join(looked, F.col("id").eqNullSafe(F.col("i")) & (F.col("digest") == F.col("d")), "left_semi")
+
+
 def find_contamination(
     documents: DataFrame,
     benchmark: DataFrame,
@@ -224,24 +238,28 @@ def find_contamination(
         F.col(id).alias("id"), F.xxhash64(F.col(text)).alias("digest"), F.col(text).alias("text")
     )
     if not held["bare"]:
-        looked = _worth_a_look(own, known, totals, min_share, small).select(F.col("id").alias("i"), F.col("digest").alias("d"))
-        own = own.join(looked, F.col("id").eqNullSafe(F.col("i")) & (F.col("digest") == F.col("d")), "left_semi")
+        own = _only(own, _worth_a_look(own, known, totals, min_share, small))
     tokens = _tokens(own, "id", "digest")
     cut = _windows(tokens, lengths or [window], "id", "digest").withColumn("key", _hash(F.col("at")))
     said = F.slice("words", F.col("at") + 1, F.col("n"))
+    # A task keeps all rows that a document's windows make in the join until it is through with them.
+    # So these rows hold a window's words, not the document's, and equal windows of an item are one.
+    known = known.groupBy("h", "known_n", "class", "same", "item", "asked").agg(F.collect_list("pos").alias("at_pos"))
     if small:
         known, totals = F.broadcast(known), F.broadcast(totals)
     else:
-        # Rows that are shuffled hold a window's words, not the document's.
         cut = cut.select("id", "digest", "n", "at", "key", said.alias("said"))
-        said = F.col("said")
-    found = cut.join(known.drop("rarest"), (F.col("key") == F.col("h")) & (F.col("n") == F.col("known_n")))
+    found = cut.join(known, (F.col("key") == F.col("h")) & (F.col("n") == F.col("known_n")))
+    if small:
+        found = found.select("id", "digest", "class", "same", "item", "at_pos", "at", "asked", F.explode(F.array(said)).alias("said"))
     slots = F.filter(
-        F.zip_with("asked", said, lambda a, b: F.struct(a.alias("asked"), b.alias("said"))),
+        F.zip_with("asked", "said", lambda a, b: F.struct(a.alias("asked"), b.alias("said"))),
         lambda s: F.substring(s["asked"], 1, 1).isin(NUMBER, NAME, UNIT),
     )
     at_offset = (
-        found.select("id", "digest", "class", "same", "item", "pos", (F.col("at") - F.col("pos")).alias("offset"), slots.alias("slots"))
+        found.select("id", "digest", "class", "same", "item", "at_pos", "at", slots.alias("slots"))
+        .select("*", F.explode("at_pos").alias("pos"))
+        .withColumn("offset", F.col("at") - F.col("pos"))
         .groupBy("id", "digest", "class", "same", "item", "offset")
         .agg(F.collect_set("pos").alias("places"), F.array_distinct(F.flatten(F.collect_set("slots"))).alias("slots"))
     )

@@ -1,4 +1,5 @@
 import rows
+from logspark.llm import decontamination
 from logspark.llm.decontamination import find_contamination
 
 ITEM = (
@@ -88,3 +89,32 @@ def test_short_items_are_found_as_whole_texts(spark):
     items = [(4, "Who was  Ada?", None, None), (2, "who was ada", None, None), (3, "2 + 2", None, None), (5, "!?", None, None)]
     docs = [(100, "WHO was\nAda", "en", "a"), (101, "and who was Ada", "en", "a"), (102, "2+2=", "en", "a"), (103, "!?", "en", "a"), (104, "", "en", "a"), (105, None, "en", "a")]
     assert found(spark, docs, items) == [(100, 2, "copy"), (102, 3, "copy")]
+
+
+def test_memory_for_long_documents_of_many_matches(spark):
+    same = " ".join(["no"] * 60)
+    items = [(1, ITEM, None, None), (2, PLAIN, None, None), (3, same, None, None)]
+    docs = [
+        (100, " ".join([ITEM + "."] * 700), "en", "a"),
+        (101, " ".join([PLAIN + "."] * 1000), "en", "a"),
+        (102, " ".join(["no"] * 4_000), "en", "a"),
+    ]
+    assert found(spark, docs, items) == [(100, 1, "copy"), (101, 2, "copy"), (102, 3, "copy")]
+
+
+def test_texts_are_not_shuffled(spark, monkeypatch):
+    name = "spark.sql.autoBroadcastJoinThreshold"
+    benchmark = spark.createDataFrame([(1, PLAIN)], "item_id long, text string")
+    docs = rows.documents(spark, [(1, f"so {PLAIN}", "en", "a"), (None, f"so {PLAIN}", "en", "a"), (2, "neither", "en", "a"), (None, None, "en", "a")])
+    before = spark.conf.get(name)
+    spark.conf.set(name, "-1")
+    try:
+        broadcast = find_contamination(docs, benchmark)
+        assert "SortMergeJoin" not in broadcast._jdf.queryExecution().toString()
+        monkeypatch.setattr(decontamination, "BROADCAST_BYTES", -1)
+        joined = find_contamination(docs, benchmark)
+        assert "SortMergeJoin" in joined._jdf.queryExecution().toString()
+        got = [sorted(map(str, df.collect())) for df in (broadcast, joined)]
+    finally:
+        spark.conf.set(name, before)
+    assert got[0] == got[1] and len(got[0]) == 2
